@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemix.llm import ann, html_text, lang_id, lattice_lm, mixing, quality, token_count
+from mnemix.llm import ann, html_text, jaccard_join, lang_id, lattice_lm, mixing, quality, token_count
 from mnemix.llm.common import fold, read
 
 
@@ -24,6 +24,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -48,6 +52,6 @@ def op9_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_source_mix, op5_quality, op6_main_text, op8_token_counts, op9_lattice_score)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_source_mix, op4_jaccard_join, op5_quality, op6_main_text, op8_token_counts, op9_lattice_score)}
 
 ORACLE: dict[str, str] = {}
