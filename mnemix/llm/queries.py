@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemix.llm import ann, html_text, jaccard_join, lang_id, lattice_lm, mixing, quality, token_count
+from mnemix.llm import ann, decontaminate, html_text, jaccard_join, lang_id, lattice_lm, mixing, pii, quality, token_count
 from mnemix.llm.common import fold, read
 
 
@@ -38,6 +38,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"), html_text.train()).select("page_id", "url", "text", "n_chars")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,10 @@ def op9_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_source_mix, op4_jaccard_join, op5_quality, op6_main_text, op8_token_counts, op9_lattice_score)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_source_mix, op4_jaccard_join, op5_quality, op6_main_text, op7_pseudonyms, op8_token_counts, op9_lattice_score, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}
