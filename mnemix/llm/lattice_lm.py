@@ -164,13 +164,13 @@ class Vocabulary:
 
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
 CHUNK = "chunk long, z int, words array<binary>, counts array<long>, doc_id array<long>, held_out array<boolean>, ends array<long>, places binary, times binary"

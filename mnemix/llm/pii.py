@@ -170,7 +170,7 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with the values in column replaced and n_values, how many were found in it.
+    """docs with the values in column replaced and n_values, how many were found in it by their form, valid or not.
 
     A null text stays null with 0 values, an empty one empty. Rows are independent; very long texts are cut at their
     values only. Other columns stay as they are, but for one named n_values, which is replaced. Dates outside 1800 to
