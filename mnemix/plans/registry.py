@@ -304,7 +304,7 @@ def vectors(spark, sf):
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), "label")
 
 
-@query(f"WITH {VECTORS_SQL} SELECT query_id, rank, node_id, round(sim, 6) AS sim FROM (SELECT q.node_id AS query_id, v.node_id, list_dot_product(q.vec, v.vec) AS sim, row_number() OVER (PARTITION BY q.node_id ORDER BY round(list_dot_product(q.vec, v.vec), 9) DESC, v.node_id) AS rank FROM v q CROSS JOIN v) WHERE rank <= 10")
+@query(f"WITH {VECTORS_SQL} SELECT query_id, rank, node_id, round(sim, 6) AS sim FROM (SELECT q.node_id AS query_id, v.node_id, round(list_dot_product(q.vec, v.vec), 9) AS sim, row_number() OVER (PARTITION BY q.node_id ORDER BY round(list_dot_product(q.vec, v.vec), 9) DESC, v.node_id) AS rank FROM v q CROSS JOIN v) WHERE rank <= 10")
 def r11_dense_top(spark, sf):
     v = vectors(spark, sf)
     return R.dense_top(v, v.select(F.col("node_id").alias("query_id"), "vec"), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", F.round("sim", 6).alias("sim"))
@@ -330,7 +330,7 @@ def r19_context(spark, sf):
 
 
 @query()
-def l7_components(spark, sf):
+def l6_components(spark, sf):
     from mnemix.operators import topology
 
     e = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("b"))
@@ -527,3 +527,80 @@ def a24_label_slices(spark, sf):
 @query("WITH g AS (SELECT o_custkey, avg((o_orderstatus = 'O')::INT) AS acc FROM orders GROUP BY 1) SELECT count(*) AS groups, round(avg(acc), 6) AS macro, round(min(acc), 6) AS worst FROM g")
 def a25_macro_accuracy(spark, sf):
     return A.macro_accuracy(read(spark, sf, "orders"), "o_custkey", F.col("o_orderstatus") == "O")
+
+
+# more of the graph, the memory and the decisions ------------------------------------------------------------------------
+
+
+@query()
+def l1_communities(spark, sf):
+    from mnemix.operators import topology
+
+    e = read(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("d"), F.date_format("l_shipdate", "yyyyMM"), F.lit("_"), (F.col("l_suppkey") % 7).cast("string")).alias("b")).distinct()
+    e = checkpointed(e.withColumn("seq", F.row_number().over(Window.orderBy("a", "b")).cast("long")))
+    return topology.communities(e)
+
+
+@query("""WITH e AS (SELECT o_custkey % 10 AS ca, o_custkey % 3 AS cb FROM orders), t AS (SELECT c, count(*) AS t FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY 1), i AS (SELECT ca AS c, count(*) AS i FROM e WHERE ca = cb GROUP BY 1)
+SELECT round(sum(coalesce(i, 0) / (SELECT count(*) FROM e)::DOUBLE - (t / (2.0 * (SELECT count(*) FROM e))) ** 2), 6) AS modularity FROM t LEFT JOIN i USING (c)""")
+def l3_modularity(spark, sf):
+    from mnemix.operators import topology
+
+    e = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b"), "o_custkey")
+    parts = e.select(F.col("a").alias("node"), (F.col("o_custkey") % 10).alias("community")).distinct().unionByName(e.select(F.col("b").alias("node"), (F.col("o_custkey") % 3).alias("community")))
+    return topology.modularity(e.select("a", "b"), parts)
+
+
+@query()
+def l7_traverse(spark, sf):
+    from mnemix.operators import topology
+
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array("c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).alias("data"))
+    links = checkpointed(M.typed_links(c))
+    nodes = checkpointed(M.node_table(c.withColumn("action", F.lit("")).withColumn("text", F.lit("")), links))
+    starts = nodes.filter("level = 'data' and node_id like 'D@_n%' escape '@'").select("node_id")
+    return topology.traverse(nodes, links, starts, 2, 40)
+
+
+@query(f"WITH {duck.PASSAGES}, t AS (SELECT id, unnest({duck.terms("id || ' Passage ' || text")}) AS w FROM records), s AS (SELECT id, {duck.stem('t.w')} AS stem FROM t) SELECT id, stem, count(*) AS tf FROM s WHERE NOT regexp_matches(stem, '^[0-9]+$') GROUP BY 1, 2")
+def i6_body_stems(spark, sf):
+    from mnemix.operators import density
+
+    return density.body_stems(checkpointed(ingest.newest_wins(passages(spark, sf))).withColumn("action", F.lit("Passage")))
+
+
+@query()
+def q5_densify(spark, sf):
+    from mnemix.operators import density
+
+    r = checkpointed(ingest.newest_wins(passages(spark, sf)).withColumn("action", F.lit("Passage")))
+    none = spark.createDataFrame([], "id string, stem string")
+    return density.densify(M.materialised(M.build(r), checkpointed), r, none, 1, min_links=12)
+
+
+@query(f"""WITH {NEAR_SQL}, w AS (SELECT probe, truth, label, round(sum(exp((sim - top) / 0.2)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near WHERE rank <= 8) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY probe ORDER BY w DESC, label DESC) = 1), l AS (SELECT avg((label = truth)::INT) AS loo FROM b), m AS (SELECT max(n) / sum(n) AS maj FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))
+SELECT round(least(greatest((loo - maj) / (1 - maj), 0), 1), 6) AS trust FROM l CROSS JOIN m""")
+def e4_trust(spark, sf):
+    c = cases(spark, sf)
+    return E.trust(c, E.neighbours(c, c))
+
+
+@query(f"""WITH {PROBS_SQL}, grid AS (SELECT exp(ln(0.25) + i * (ln(8.0) - ln(0.25)) / 60) AS t FROM range(0, 61) r(i)), g AS (SELECT t, query_id, sum(pow(p, 1 / t)) AS z, sum(CASE WHEN option = 1 THEN pow(p, 1 / t) ELSE 0 END) AS g FROM probs CROSS JOIN grid GROUP BY 1, 2)
+SELECT round(t, 6) AS t, round(-avg(ln(greatest(g / z, 1e-12))), 6) AS nll FROM g GROUP BY g.t ORDER BY 2, 1 LIMIT 1""")
+def a6_refit_temperature(spark, sf):
+    p = D.softmax(logits(spark, sf), 1.5).withColumn("gold", F.lit(1))
+    return A.refit_temperature(p).select("t", F.round("nll", 6).alias("nll"))
+
+
+@query(f"""WITH {PROBS_SQL}, v AS (SELECT l_orderkey AS query_id, l_linenumber AS option, max(l_quantity)::BIGINT // 10 AS votes FROM lineitem GROUP BY 1, 2), d AS (SELECT *, max(votes) OVER (PARTITION BY query_id) AS top, sum(votes) OVER (PARTITION BY query_id) AS all_ FROM probs JOIN v USING (query_id, option))
+SELECT query_id, option, round(CASE WHEN top >= 4 THEN votes / all_ ELSE p END, 6) AS p FROM d""")
+def x12_agreement_override(spark, sf):
+    v = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("option")).agg(F.floor(F.max("l_quantity") / 10).alias("votes"))
+    return D.agreement_override(D.softmax(logits(spark, sf), 1.5), v, 0.7, least=4).select("query_id", "option", F.round("p", 6).alias("p"))
+
+
+@query("SELECT conv_id, to_json({'context': min(text), 'input': count(*)::VARCHAR}) AS state FROM conversations GROUP BY 1")
+def x20_grounded(spark, sf):
+    g = read(spark, sf, "conversations").groupBy("conv_id").agg(F.min("text").alias("t"), F.count("*").cast("string").alias("n"))
+    return g.select("conv_id", D.grounded(F.col("n"), F.col("t")).alias("state"))
