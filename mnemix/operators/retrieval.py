@@ -42,8 +42,9 @@ def similar_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4, k: int
 def substring_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, node_id): the whole query, lower-case, within an id or label; for queries of content and three characters."""
     q = queries.filter((F.size(T.terms(F.col("q"))) > 0) & (F.length(F.trim("q")) >= 3)).select("query_id", F.lower("q").alias("lq"))
-    inside = F.contains(F.lower("node_id"), F.col("lq")) | F.contains(F.lower("label"), F.col("lq"))
-    return nodes.select("node_id", "label").join(q, inside).select("query_id", "node_id")
+    inside = F.contains("lower_id", F.col("lq")) | F.contains("lower_label", F.col("lq"))
+    low = nodes.select("node_id", F.lower("node_id").alias("lower_id"), F.lower("label").alias("lower_label"))
+    return low.join(q, inside).select("query_id", "node_id")
 
 
 def spread(scores: DataFrame, memory: Memory) -> DataFrame:
@@ -204,3 +205,61 @@ def recall_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     f = found.filter(F.col("rank") <= k).select("query_id", "node_id").withColumn("hit", F.lit(1))
     per = t.join(f, ["query_id", "node_id"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("r"))
     return per.agg(F.round(F.avg("r"), 6).alias("recall"))
+
+
+def hybrid(memory: Memory, queries: DataFrame, vectors: DataFrame, asked: DataFrame, k: int = 5, least_sim: float = 0.35, mode: str = "hybrid", fuzzy_requires_dense: bool = False, checkpoint=lambda d: d) -> DataFrame:
+    """cascade() fused with dense search; vectors (node_id, vec) of records, asked (query_id, vec).
+
+    mode lexical ignores the vectors; dense ranks by similarity alone, without a floor; hybrid fuses the first fifty of
+    both, and where the lexical stage was hub but the best similarity reaches least_sim, the stage is dense.
+    """
+    if mode == "lexical":
+        return cascade(memory, queries, k, checkpoint)
+    dense = checkpoint(dense_top(vectors, asked, POOL))
+    best = dense.filter("rank = 1").select("query_id", F.col("sim").alias("top_sim"))
+    if mode == "dense":
+        d = dense.filter(F.col("rank") <= k).join(best, "query_id")
+        sure = F.col("top_sim") >= least_sim
+        return d.select("query_id", F.lit("dense").alias("stage"), F.lit(True).alias("matched"), (~sure).alias("handoff"), F.lit(0.0).alias("coverage"), F.round(F.least(0.5 * F.col("top_sim"), F.lit(1.0)), 6).alias("confidence"), "rank", F.col("node_id").alias("id"), F.round(F.col("sim") / F.col("top_sim"), 6).alias("score"))
+    scores, verdicts = stages(memory, queries, checkpoint)
+    v = verdicts.join(best, "query_id", "left").withColumn("dense_ok", F.coalesce(F.col("top_sim") >= least_sim, F.lit(False)))
+    v = checkpoint(v.withColumn("stage", F.when((F.col("stage") == "hub") & F.col("dense_ok"), "dense").otherwise(F.col("stage"))))
+    lexical = ranked(spread(scores, memory), memory.nodes, POOL)
+    found = v.filter("stage not in ('hub', 'dense')").select("query_id")
+    fused = rrf([lexical, dense.join(found, "query_id", "left_semi")], k)
+    alone = dense.join(v.filter("stage = 'dense'").select("query_id"), "query_id", "left_semi").filter(F.col("rank") <= k).select("query_id", "rank", "node_id", F.col("sim").alias("score"))
+    last = hubs(memory.nodes, k).select("node_id", F.row_number().over(Window.orderBy(F.desc("degree"), "node_id")).alias("rank"), F.lit(0.0).alias("score"))
+    lost = v.filter("stage = 'hub'").select("query_id").join(F.broadcast(last)).select("query_id", "rank", "node_id", "score")  # at most k rows
+    hits = fused.unionByName(alone).unionByName(lost)
+    hit_sim = hits.filter("rank = 1").join(dense.select("query_id", "node_id", "sim"), ["query_id", "node_id"]).select("query_id", F.col("sim").alias("hit_sim"))
+    d = hits.join(v, "query_id").join(hit_sim, "query_id", "left")
+    matched = F.col("stage") != "hub"
+    guessed = F.lit(fuzzy_requires_dense) & (F.col("stage") == "fuzzy") & (F.coalesce("hit_sim", F.lit(-1.0)) < least_sim)
+    top = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-9))
+    return d.select(
+        "query_id", "stage", matched.alias("matched"), (~matched | ((F.col("coverage") < 0.5) & ~F.col("dense_ok")) | guessed).alias("handoff"), F.round("coverage", 6).alias("coverage"),
+        F.round(confidence(F.col("stage"), F.col("coverage"), F.col("dense_ok"), F.coalesce("top_sim", F.lit(0.0))), 6).alias("confidence"), "rank", F.col("node_id").alias("id"), F.round(F.col("score") / top, 6).alias("score"),
+    )
+
+
+def block_context(hits: DataFrame, blocks: DataFrame, nodes: DataFrame, most: int = 24) -> DataFrame:
+    """(query_id, ord, block, members, size): the blocks of a query's hits in hit order, with up to `most` members by level and degree."""
+    first = hits.join(blocks.select(F.col("node_id").alias("id"), "block"), "id").groupBy("query_id", "block").agg(F.min("rank").alias("ord"))
+    w = Window.partitionBy("block").orderBy("level_rank", F.desc("degree"), "node_id")
+    held = blocks.join(nodes.select("node_id", "level_rank", "degree"), "node_id").withColumn("rn", F.row_number().over(w))
+    lists = held.groupBy("block").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", "node_id")))).alias("m"))
+    return first.join(lists.select("block", "size", F.transform("m", lambda x: x["node_id"]).alias("members")), "block")
+
+
+def corrected_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4) -> DataFrame:
+    """(word, term, sim): the most similar other vocabulary term, the more used one on ties."""
+    near = similar_terms(vocab, words, least, k=50).join(vocab.select("term", "df"), "term")
+    w = Window.partitionBy("word").orderBy(F.desc("sim"), F.desc("df"), "term")
+    return near.withColumn("rn", F.row_number().over(w)).filter("rn = 1 and term <> word").select("word", "term", "sim")
+
+
+def pages_of(hits: DataFrame, page_of: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, rank, page): the distinct pages of hits in hit order."""
+    g = hits.join(page_of, "id").groupBy("query_id", "page").agg(F.min("rank").alias("first"))
+    w = Window.partitionBy("query_id").orderBy("first", "page")
+    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "page")

@@ -105,3 +105,22 @@ def traverse(nodes: DataFrame, links: DataFrame, starts: DataFrame, hops: int, l
         new = new.withColumn("rn", F.row_number().over(w)).join(held, "start").withColumn("ord", F.col("held") + F.col("rn")).filter(F.col("ord") <= limit)
         seen = checkpointed(seen.unionByName(new.select("start", F.col("next").alias("node_id"), F.lit(depth).alias("depth"), "ord")))
     return seen
+
+
+def blocks(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node_id, block): the name of each node's block.
+
+    A community with one record is named by it, one without records by its number as data, others by their number; a
+    node outside all communities is a block of its own.
+    """
+    own = parts.select(F.col("node").alias("node_id"), "community")
+    g = own.groupBy("community").agg(F.count_if(F.col("node_id").startswith("F_")).alias("n"), F.min(F.when(F.col("node_id").startswith("F_"), F.substr("node_id", F.lit(3)))).alias("one"))
+    name = F.when(F.col("n") == 1, F.concat(F.lit("C - "), "one")).when(F.col("n") == 0, F.concat(F.lit("C - Data_"), F.col("community").cast("string"))).otherwise(F.concat(F.lit("C - Community_"), F.col("community").cast("string")))
+    named = own.join(g, "community").select("node_id", name.alias("block"))
+    return nodes.select("node_id").join(named, "node_id", "left").select("node_id", F.coalesce("block", F.concat(F.lit("C - "), F.substr("node_id", F.lit(3)))).alias("block"))
+
+
+def search_blocks(named: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, block): blocks whose name, or the id of a member, contains the query, case aside."""
+    names = named.select("block", F.lower("block").alias("low")).unionByName(named.select("block", F.lower("node_id").alias("low"))).distinct()
+    return names.join(queries.select("query_id", F.lower("q").alias("lq")), F.contains("low", F.col("lq"))).select("query_id", "block").distinct()
