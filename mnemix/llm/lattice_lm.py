@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemix.llm.common import fold, sample_hash, saved
@@ -173,7 +174,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
-CHUNK = "chunk long, z int, words array<binary>, counts array<long>, doc_id array<long>, held_out array<boolean>, ends array<long>, places binary, times binary"
+CHUNK = "chunk long, z int, words array<binary>, h1 array<long>, h2 array<long>, counts array<long>, doc_id array<long>, held_out array<boolean>, ends array<long>, places binary, times binary"
 DIM = 512
 
 
@@ -224,14 +225,22 @@ def texts_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs
     return np.logaddexp.reduce(np.stack(kinds), axis=0) - np.log(len(kinds))
 
 
+class _Places(dict):
+    """Words in the order they came, each with its place."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Chunk:
     def __init__(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = _Places()
         self.ids, self.held, self.places, self.times, self.size = [], [], [], [], 0
 
     def add(self, doc_id, held: bool, raw: bytes) -> None:
-        at = self.at
-        u, n = np.unique(np.array([at.setdefault(w, len(at)) for w in raw.lower().split()], np.int32), return_counts=True)
+        words = raw.lower().split()
+        u, n = np.unique(np.fromiter(map(self.at.__getitem__, words), np.int32, len(words)), return_counts=True)
         self.ids.append(None if pd.isna(doc_id) else int(doc_id))
         self.held.append(bool(held))
         self.places.append(u)
@@ -243,7 +252,8 @@ class _Chunk:
         n = [len(x) for x in self.places]
         use = np.repeat(~np.array(self.held, bool), n)
         train = np.bincount(p[use], t[use], len(self.at)).astype(np.int64)
-        return pd.DataFrame([{"chunk": chunk, "z": z, "words": list(self.at), "counts": train, "doc_id": self.ids, "held_out": self.held, "ends": np.cumsum(n), "places": _pack(p), "times": _pack(t)}])
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.at)), np.int64).reshape(len(self.at), 2)
+        return pd.DataFrame([{"chunk": chunk, "z": z, "words": list(self.at), "h1": keys[:, 0], "h2": keys[:, 1], "counts": train, "doc_id": self.ids, "held_out": self.held, "ends": np.cumsum(n), "places": _pack(p), "times": _pack(t)}])
 
 
 def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -263,7 +273,7 @@ def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarra
         made += 1
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6, sample: int = 2000, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = 1, clusters: int = 6, sample: int = 2000, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Learns from rows whose crc32 of the id, modulo 5, is not 1. base_score and score are log10 probabilities of the
@@ -282,14 +292,14 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
     x = np.array(sorted(some["v"].tolist(), key=lambda v: tuple(v))) if len(some) else np.zeros((0, DIM))
     middle = centers(x, clusters)
     chunks = saved(rows.mapInPandas(lambda it: _chunks(it, chunk_bytes, middle), CHUNK), "chunks")
-    vocab = chunks.select("chunk", "z", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("chunk", "z", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    words = vocab.select("word", "z", "n").repartition("word").groupBy("word", "z").agg(F.sum("n").alias("c"))
-    words = saved(words.withColumn("total", F.sum("c").over(by_word)).withColumn("first", F.col("z") == F.min("z").over(by_word)), "words")
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("first") & (F.col("total") > 0)).alias("v")).first()
-    n_z, docs_z = np.zeros(clusters), np.zeros(clusters)
-    for r in words.groupBy("z").agg(F.sum("c").alias("n")).collect():
-        n_z[r.z] = r.n
+    zs = range(clusters)
+    entries = chunks.select("chunk", "z", F.posexplode(F.arrays_zip("h1", "h2", "words", "counts")).alias("place", "w"))
+    by_z = [F.sum(F.when(F.col("z") == k, F.col("w.counts")).otherwise(0)).alias(f"c{k}") for k in zs]
+    met = F.bit_or(F.expr("shiftleft(1, z)")).alias("met")  # the clusters whose texts use the word, held-out ones included
+    words = entries.select("z", "w", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")).repartition("h1").groupBy("h1", "h2").agg(F.any_value("w.words").alias("word"), met, *by_z)
+    words = saved(words.withColumn("total", sum(F.col(f"c{k}") for k in zs)), "words")
+    seen = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count_if(F.col("total") > 0).alias("v"), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in zs]).first()
+    n_z, docs_z = np.array([float(seen[f"n{k}"]) for k in zs]), np.zeros(clusters)
     for r in chunks.select("z", F.explode("held_out").alias("h")).groupBy("z").agg(F.count_if(~F.col("h")).alias("n")).collect():
         docs_z[r.z] = r.n
     docs_in = int(docs_z.sum())
@@ -303,36 +313,42 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
             v = Vocabulary(*shared.value)
             total = np.zeros(now.shape)
             for b in batches:
-                for z, part in b.groupby("z"):
-                    count, ws = part["c"].to_numpy(float), part["word"].tolist()
-                    for pick, x in v.by_length(ws):
+                ws = b["word"].to_numpy()
+                for z in zs:
+                    use = b[f"c{z}"].to_numpy() > 0
+                    count = b[f"c{z}"].to_numpy(float)[use]
+                    for pick, x in v.by_length(ws[use].tolist()):
                         total[z] += v.expected(x, count[pick], now[z])
             z, used = np.nonzero(total)
             yield pd.DataFrame({"z": z, "piece": used, "uses": total[z, used]})
 
         uses = np.tile(np.exp(voc.logp), (clusters, 1))  # one use in all, spread by the vocabulary's own scores
-        for r in words.filter("c > 0").select("word", "z", "c").mapInPandas(expect, "z long, piece long, uses double").groupBy("z", "piece").agg(F.sum("uses").alias("uses")).collect():
+        for r in words.filter("total > 0").select("word", *[f"c{k}" for k in zs]).mapInPandas(expect, "z long, piece long, uses double").groupBy("z", "piece").agg(F.sum("uses").alias("uses")).collect():
             uses[r.z, r.piece] += r.uses
         logp = np.log(uses / uses.sum(axis=1, keepdims=True))
 
     final = logp
 
-    @F.pandas_udf("double")
-    def log_word(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def log_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(*shared.value)
-        for word, z in batches:
-            out, zs = np.empty(len(word)), z.to_numpy()
-            for k in np.unique(zs):
-                out[zs == k] = v.log_words(word[zs == k].tolist(), final[k])
-            yield pd.Series(out)
-
-    scored = saved(words.select("word", "z", "c", "total", log_word("word", "z").alias("log_piece")), "scored")
+        for b in batches:
+            ws, met_ = b["word"].to_numpy(), b["met"].to_numpy()
+            for z in zs:
+                use = (met_ >> z & 1) == 1
+                out = np.zeros(len(b))
+                out[use] = v.log_words(ws[use].tolist(), final[z])
+                b[f"m{z}"] = out
+            yield b.drop(columns=["word"])
+
+    numbers = ["h1", "h2", "met", *[f"c{k}" for k in zs], "total"]
+    kept = ", ".join(f"{c} {'int' if c == 'met' else 'long'}" for c in numbers)
+    scored = saved(words.select("word", *numbers).mapInPandas(log_words, f"{kept}, " + ", ".join(f"m{k} double" for k in zs)), "scored")
     share = np.zeros((clusters, 2))
     if n_words > 1:
-        grid = [(a / 20, b) for a in range(20) for b in (0.0, 0.01, 0.03, 0.1, 0.3, 0.6) if a / 20 + b < 0.995]
-        piece = F.greatest(F.exp("log_piece"), F.lit(1e-300))
-        sizes = F.element_at(F.array(*[F.lit(float(max(1, n - 1))) for n in n_z]), F.col("z") + 1)
-        one_out = scored.filter("c > 0").select("z", "c", piece.alias("m"), ((F.col("c") - 1) / sizes).alias("own"), ((F.col("total") - 1) / (n_words - 1)).alias("all"))
+        grid = [(a / 10, b) for a in range(10) for b in (0.0, 0.02, 0.08, 0.25, 0.6) if a / 10 + b < 0.995]
+        sizes = F.element_at(F.array(*[F.lit(float(max(1, n - 1))) for n in n_z]), F.col("x.z") + 1)
+        each = scored.select("total", F.explode(F.array(*[F.struct(F.lit(k).alias("z"), F.col(f"c{k}").alias("c"), F.col(f"m{k}").alias("m")) for k in zs])).alias("x")).filter("x.c > 0")
+        one_out = each.select("x.z", "x.c", F.greatest(F.exp("x.m"), F.lit(1e-300)).alias("m"), ((F.col("x.c") - 1) / sizes).alias("own"), ((F.col("total") - 1) / (n_words - 1)).alias("all"))
         for r in one_out.groupBy("z").agg(*[F.sum(F.col("c") * F.log(F.lit(a) * F.col("own") + F.lit(b) * F.col("all") + F.lit(1 - a - b) * F.col("m"))).alias(f"g{i}") for i, (a, b) in enumerate(grid)]).collect():
             share[r.z] = grid[int(np.argmax([r[f"g{i}"] for i in range(len(grid))]))]
     end = (docs_z + 1) / (n_z + docs_z + 2)
@@ -362,6 +378,8 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
             "score": (texts_log(lm[place], times, owner, n_docs) + np.log1p(-end[z]) * add(times) + np.log(end[z])) / np.log(10) + log_z[z],
         })
 
-    back = vocab.select("chunk", "z", "place", "word").join(scored, ["word", "z"]).select(F.col("chunk").alias("of_chunk"), "place", "c", "total", "log_piece")
+    of_z = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in zs]), F.col("z") + 1)
+    places = entries.select("chunk", "z", "place", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+    back = places.join(scored.hint("shuffle_hash"), ["h1", "h2"]).select(F.col("chunk").alias("of_chunk"), "place", of_z("c").alias("c"), "total", of_z("m").alias("log_piece"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.select("chunk", "z", "doc_id", "held_out", "ends", "places", "times").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInPandas(finish, out)
