@@ -3,18 +3,23 @@
 A mask fixes some positions of a window of words and ignores the others, so two windows that differ in an ignored word
 hash alike. Every window of every benchmark item and of every document is hashed under each mask; equal hashes are
 hits, and a hit fixes how item and document align. Along that alignment their words are compared one by one: the
-document overlaps the item where a run of `least` words (or the whole item, if shorter) has enough equal words.
+document overlaps the item where a run of `least` words (or the whole item, if shorter) has enough equal words. The
+masks are chosen for the lengths of run that the items have, so that every choice of differing words which leaves
+enough equal ones leaves a hit.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache, reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemix.llm.common import saved
 
-MASKS = ("11011011", "10111101")
-SHORT = (4, 5, 6, 7)  # items too short for a mask are looked for whole
+SHORTEST = 4  # items of fewer words are not looked for
 SEED_LIMIT = 1_000_000  # 16 bytes each: the bound under which benchmark seeds are broadcast
 
 
@@ -24,6 +29,52 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _hit(mask: str, n: int) -> list[frozenset[int]]:
+    """The positions that each placing of a mask in a run of n words fixes."""
+    return [frozenset(i + j for j, c in enumerate(mask) if c == "1") for i in range(n - len(mask) + 1)]
+
+
+def _masks_of(weight: int, n: int) -> list[str]:
+    """All masks of a weight that fit a run of n words, short ones first."""
+    if weight == 1:
+        return ["1"]
+    spans = ((size, inner) for size in range(weight, n + 1) for inner in combinations(range(1, size - 1), weight - 2))
+    return ["".join("1" if i in (0, size - 1, *inner) else "0" for i in range(size)) for size, inner in spans]
+
+
+@lru_cache(maxsize=64)
+def masks_for(runs: tuple[tuple[int, int], ...]) -> dict[tuple[int, int], tuple[str, ...]]:
+    """For each (words, words that may differ) of a run: masks of which one hits whichever words differ.
+
+    Long runs come first and their masks serve shorter ones too. Masks are as heavy as three more of them allow; below
+    a weight of four more are taken instead. A run of more than 13 words holds one of 13 with its share of the differing
+    words at most, and is looked for by that.
+    """
+    out, chosen = {}, []
+    for n, differ in sorted(runs, reverse=True):
+        part = min(n, 13)
+        d = min(differ // (n // part), part - 1)
+        patterns = [frozenset(p) for p in combinations(range(part), d)]
+        covers = lambda m, left: {p for p in left if any(not p & at for at in _hit(m, part))}  # noqa: E731, B023
+        mine, left = [], set(patterns)
+        for m in chosen:
+            if got := covers(m, left):
+                mine.append(m)
+                left -= got
+        for weight in range(part - d, 0, -1):
+            open_, more = set(left), []
+            each = {m: covers(m, left) for m in _masks_of(weight, part)} if left else {}
+            while open_:
+                best = max(each, key=lambda m: len(each[m] & open_))  # noqa: B023
+                more.append(best)
+                open_ -= each[best]
+            if len(more) <= 3 or weight <= SHORTEST:
+                break
+        chosen += more
+        out[n, differ] = (*mine, *more)
+    return out
+
+
 def _seeds(h: Column, masks: list[str]) -> Column:
     """For an array of word hashes: for each window start an array of one hash a mask, null where the mask does not fit."""
     least = min(map(len, masks))
@@ -49,20 +100,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
 
     at_word is where in the document the item's first word would lie; n_words is the length of the compared run
     (`least`, or the item's length if shorter), n_equal the most equal words in such a run; at least share of them are
-    equal. Items of fewer than four words are not looked for. Null and empty texts have no words. A null item_id
+    equal, whichever they are. Items of fewer than four words are not looked for. Null and empty texts have no words. A null item_id
     is a value like others; documents without an id are reported under a null id. Repeated rows give one result; an
     empty table on either side gives none. Seeds of the benchmark are broadcast only where their number is within
     seed_limit; beyond it the join shuffles both sides.
     """
     items = saved(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).distinct(), "items")
-    long_ = max(map(len, MASKS))
-    sizes = {r.n for r in items.select(F.size("words").alias("n")).filter(F.col("n").isin(*SHORT)).distinct().collect()}
-    masks = [*MASKS, *["1" * n for n in sorted(sizes)]]
-    seeds = items.select("item_id", F.size("words").alias("size"), F.posexplode(_seeds(F.col("words"), masks)).alias("item_at", "each"))
-    seeds = seeds.select("item_id", "size", "item_at", F.posexplode("each").alias("mask", "seed")).filter(F.col("seed").isNotNull())
-    # a whole short item is looked for by the mask of its own length, longer ones by the spaced masks
-    own = F.element_at(F.array(*[F.lit(len(m) if i >= len(MASKS) else 0) for i, m in enumerate(masks)]), F.col("mask") + 1)
-    seeds = seeds.filter(F.when(F.col("size") < long_, own == F.col("size")).otherwise(own == 0)).select("item_id", "item_at", "seed").distinct()
+    run = F.least(F.size("words"), F.lit(least))
+    lengths = [r.n for r in items.filter(F.size("words") >= SHORTEST).select(run.alias("n")).distinct().collect()] or [least]
+    of_run = {n: m for (n, _), m in masks_for(tuple(sorted((n, n - math.ceil(n * share)) for n in lengths))).items()}
+    masks = sorted({m for ms in of_run.values() for m in ms})
+    seeds = items.filter(F.size("words") >= SHORTEST).select("item_id", run.alias("run"), F.posexplode(_seeds(F.col("words"), masks)).alias("item_at", "each"))
+    seeds = seeds.select("item_id", "run", "item_at", F.posexplode("each").alias("mask", "seed")).filter(F.col("seed").isNotNull())
+    # an item is looked for by the masks of its run only
+    own = [(F.col("run") == n) & F.col("mask").isin([masks.index(m) for m in ms]) for n, ms in of_run.items()]
+    seeds = seeds.filter(reduce(Column.__or__, own)).select("item_id", "item_at", "seed").distinct()
     if seeds.limit(seed_limit + 1).count() <= seed_limit:
         seeds = F.broadcast(seeds)
     found = docs.select("doc_id", F.posexplode(_seeds(word_hashes(F.col("text")), masks)).alias("doc_at", "each")).select("doc_id", "doc_at", F.explode("each").alias("seed"))
@@ -73,7 +125,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     worded = texts.select("doc_id", word_hashes(F.col("text")).alias("doc_words"))
     pairs = worded.join(h, F.col("doc_id").eqNullSafe(F.col("h_doc"))).join(items.select(F.col("item_id").alias("i_item"), "words"), F.col("h_item").eqNullSafe(F.col("i_item")))
     n = F.size("words")
-    run = F.least(n, F.lit(least))
     equal = F.transform("words", lambda w, j: F.when((j + F.col("shift") >= 0) & (F.get("doc_words", j + F.col("shift")) == w), 1).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(0), n - run), lambda i: F.aggregate(F.slice(F.col("equal"), i + 1, F.col("n_words")), F.lit(0), lambda a, x: a + x)))
     checked = pairs.select("doc_id", F.col("h_item").alias("item_id"), F.col("shift").cast("long").alias("at_word"), run.alias("n_words"), equal.alias("equal"), "words")
