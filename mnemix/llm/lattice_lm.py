@@ -176,6 +176,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 CHUNK = "chunk long, z int, words array<binary>, h1 array<long>, h2 array<long>, counts array<long>, doc_id array<long>, held_out array<boolean>, ends array<long>, places binary, times binary"
 DIM = 512
+GRID = [(a / 20, b) for a in range(20) for b in (0.0, 0.01, 0.03, 0.1, 0.3, 0.6) if a / 20 + b < 0.995]  # shares of the own and of all clusters' counts
 
 
 def byte_pairs(raw: bytes) -> np.ndarray:
@@ -273,7 +274,7 @@ def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarra
         made += 1
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = 1, clusters: int = 6, sample: int = 2000, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6, sample: int = 2000, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Learns from rows whose crc32 of the id, modulo 5, is not 1. base_score and score are log10 probabilities of the
@@ -345,12 +346,11 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 1, clusters: int = 6,
     scored = saved(words.select("word", *numbers).mapInPandas(log_words, f"{kept}, " + ", ".join(f"m{k} double" for k in zs)), "scored")
     share = np.zeros((clusters, 2))
     if n_words > 1:
-        grid = [(a / 10, b) for a in range(10) for b in (0.0, 0.02, 0.08, 0.25, 0.6) if a / 10 + b < 0.995]
         sizes = F.element_at(F.array(*[F.lit(float(max(1, n - 1))) for n in n_z]), F.col("x.z") + 1)
         each = scored.select("total", F.explode(F.array(*[F.struct(F.lit(k).alias("z"), F.col(f"c{k}").alias("c"), F.col(f"m{k}").alias("m")) for k in zs])).alias("x")).filter("x.c > 0")
         one_out = each.select("x.z", "x.c", F.greatest(F.exp("x.m"), F.lit(1e-300)).alias("m"), ((F.col("x.c") - 1) / sizes).alias("own"), ((F.col("total") - 1) / (n_words - 1)).alias("all"))
-        for r in one_out.groupBy("z").agg(*[F.sum(F.col("c") * F.log(F.lit(a) * F.col("own") + F.lit(b) * F.col("all") + F.lit(1 - a - b) * F.col("m"))).alias(f"g{i}") for i, (a, b) in enumerate(grid)]).collect():
-            share[r.z] = grid[int(np.argmax([r[f"g{i}"] for i in range(len(grid))]))]
+        for r in one_out.groupBy("z").agg(*[F.sum(F.col("c") * F.log(F.lit(a) * F.col("own") + F.lit(b) * F.col("all") + F.lit(1 - a - b) * F.col("m"))).alias(f"g{i}") for i, (a, b) in enumerate(GRID)]).collect():
+            share[r.z] = GRID[int(np.argmax([r[f"g{i}"] for i in range(len(GRID))]))]
     end = (docs_z + 1) / (n_z + docs_z + 2)
     log_z = np.log10((docs_z + 1) / (docs_in + clusters))
 

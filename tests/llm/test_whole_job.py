@@ -1,10 +1,11 @@
 """What the operators find at the edge of their own rules."""
 
+from inspect import signature
 from itertools import combinations
 
 import pandas as pd
 
-from mnemix.llm import decontaminate
+from mnemix.llm import decontaminate, lattice_lm
 
 
 def table(spark, rows, schema):
@@ -42,3 +43,8 @@ def test_decontamination_finds_every_pattern(spark):
     assert want <= got
     extra = got - want
     assert all(i == 14 for _, i in extra)
+
+
+def test_lattice_rounds_and_grid():
+    assert signature(lattice_lm.score).parameters["rounds"].default == 2
+    assert len({a for a, _ in lattice_lm.GRID}) == 20 and {b for a, b in lattice_lm.GRID if a == 0} == {0.0, 0.01, 0.03, 0.1, 0.3, 0.6}
