@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemix.llm.common import fold, sample_hash, saved
+from mnemix.llm.common import fold, saved
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x94D049BB133111EB))
@@ -179,33 +179,90 @@ DIM = 512
 GRID = [(a / 20, b) for a in range(20) for b in (0.0, 0.01, 0.03, 0.1, 0.3, 0.6) if a / 20 + b < 0.995]  # shares of the own and of all clusters' counts
 
 
+def pair_counts(raw: bytes) -> np.ndarray:
+    """Hashed counts of adjacent bytes."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int32)
+    return np.bincount((b[:-1] * 37 + b[1:]) % DIM, minlength=DIM)
+
+
 def byte_pairs(raw: bytes) -> np.ndarray:
     """A unit vector of hashed counts of adjacent bytes; zero for fewer than two bytes."""
-    b = np.frombuffer(raw, np.uint8).astype(np.int32)
-    v = np.sqrt(np.bincount((b[:-1] * 37 + b[1:]) % DIM, minlength=DIM)) if len(b) > 1 else np.zeros(DIM)
+    v = np.sqrt(pair_counts(raw))
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def centers(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means of the rows of x; starts are each farthest from those before."""
-    at = [x.mean(axis=0)]
+def _counted(batches: Iterator[pd.DataFrame], block: int = 1000) -> Iterator[pd.DataFrame]:
+    """The pair counts of blocks of texts, exact and packed; texts without pairs are left out."""
+    for b in batches:
+        texts = b["text"].tolist()
+        for at in range(0, len(texts), block):
+            c = np.array([pair_counts((t or "").encode("utf-8", "surrogatepass")) for t in texts[at : at + block]], np.uint32)
+            yield pd.DataFrame({"pairs": [_pack(c[c.any(axis=1)].ravel())]})
+
+
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Unit vectors of each block that has any."""
+    for b in batches:
+        for p in b["pairs"]:
+            v = np.sqrt(_unpack(p, np.uint32).reshape(-1, DIM).astype(float))
+            if len(v):
+                yield v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+UNIT = 1 << 30  # sums are of whole numbers, so they do not depend on how the rows are dealt
+
+
+def _sums(pairs: DataFrame, c: np.ndarray) -> np.ndarray:
+    """(centers, DIM) sum of the vectors nearest each center."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(c.shape, np.int64)
+        for v in _vectors(batches):
+            own = (v @ c.T).argmax(axis=1)
+            for j in np.unique(own):
+                total[j] += np.rint(v[own == j] * UNIT).astype(np.int64).sum(axis=0)
+        z, cell = np.nonzero(total)
+        yield pd.DataFrame({"z": z, "cell": cell, "v": total[z, cell]})
+
+    out = np.zeros(c.shape)
+    for r in pairs.mapInPandas(add, "z long, cell long, v long").groupBy("z", "cell").agg(F.sum("v").alias("v")).collect():
+        out[r.z, r.cell] = r.v / UNIT
+    return out
+
+
+def _farthest(pairs: DataFrame, c: np.ndarray) -> np.ndarray:
+    """The vector least like the center it is most like."""
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for v in _vectors(batches):
+            like = np.round((v @ c.T).max(axis=1), 9)
+            for i in np.flatnonzero(like == like.min()):
+                if best is None or (like[i], tuple(v[i])) < best:
+                    best = like[i], tuple(v[i])
+        if best is not None:
+            yield pd.DataFrame({"like": [best[0]], "v": [np.array(best[1])]})
+
+    found = pairs.mapInPandas(least, "like double, v array<double>").agg(F.min(F.struct("like", "v")).alias("b")).first().b
+    return np.zeros(DIM) if found is None else np.array(found.v)
+
+
+def centers(pairs: DataFrame, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of all vectors; starts are each farthest from those before, the first from the mean."""
+    unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+    at = [unit(_sums(pairs, np.zeros((1, DIM)))[0])]
     for _ in range(k):
-        at.append(x[int((x @ np.array(at).T).max(axis=1).argmin())] if len(x) else np.zeros(DIM))
+        at.append(_farthest(pairs, np.array(at)))
     c = np.array(at[1:])
     for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        for j in range(k):
-            if (own == j).any():
-                m = x[own == j].sum(axis=0)
-                c[j] = m / (np.linalg.norm(m) or 1.0)
+        sums = _sums(pairs, c)
+        new = np.array([unit(m) if m.any() else old for m, old in zip(sums, c)])
+        if (new == c).all():
+            break
+        c = new
     return c
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"v": [byte_pairs((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
-
-
 def texts_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs: int, urns: tuple = (500.0, 20.0)) -> np.ndarray:
     """Natural log probability of each document's words, given each (document, word)'s log probability and count.
 
@@ -274,24 +331,22 @@ def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarra
         made += 1
 
 
-def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6, sample: int = 2000, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Learns from rows whose crc32 of the id, modulo 5, is not 1. base_score and score are log10 probabilities of the
     whole text: of a unigram word model with 0.5 added to each count, and of the lattice (with that of the document's
-    cluster). Clusters are fitted on about `sample` training documents; all other counts cover every training row. A
+    cluster). Clusters and all counts cover every training row. A
     null text is empty: its one token is the end. Without any training row all probabilities come from the
-    vocabulary's own scores. Repeated rows and a null id count as documents of their own. The driver keeps piece
-    probabilities only, as many as the vocabulary has times clusters; other columns of docs are ignored.
+    vocabulary's own scores. Repeated rows and a null id count as documents of their own. The driver keeps cluster
+    centers and piece probabilities only, as many as the vocabulary has times clusters; other columns of docs are ignored.
     """
     spark = docs.sparkSession
     voc = Vocabulary.from_sentencepiece(vocabulary)
     shared = spark.sparkContext.broadcast((voc.pieces, voc.logp))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), 5) == 1).alias("held_out"))
-    n_rows = rows.count()
-    some = rows.filter(~F.col("held_out") & (sample_hash("doc_id", "text") < min(1.0, sample / max(1, n_rows)))).select("text").mapInPandas(_sampled, "v array<double>").toPandas()
-    x = np.array(sorted(some["v"].tolist(), key=lambda v: tuple(v))) if len(some) else np.zeros((0, DIM))
-    middle = centers(x, clusters)
+    pairs = saved(rows.filter(~F.col("held_out")).select("text").mapInPandas(_counted, "pairs binary"), "pairs")
+    middle = centers(pairs, clusters)
     chunks = saved(rows.mapInPandas(lambda it: _chunks(it, chunk_bytes, middle), CHUNK), "chunks")
     zs = range(clusters)
     entries = chunks.select("chunk", "z", F.posexplode(F.arrays_zip("h1", "h2", "words", "counts")).alias("place", "w"))

@@ -3,6 +3,7 @@
 from inspect import signature
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 
 from mnemix.llm import decontaminate, lattice_lm
@@ -48,3 +49,12 @@ def test_decontamination_finds_every_pattern(spark):
 def test_lattice_rounds_and_grid():
     assert signature(lattice_lm.score).parameters["rounds"].default == 2
     assert len({a for a, _ in lattice_lm.GRID}) == 20 and {b for a, b in lattice_lm.GRID if a == 0} == {0.0, 0.01, 0.03, 0.1, 0.3, 0.6}
+
+
+def test_lattice_clusters_cover_all_texts(spark):
+    few = "щука жила в пруду и ела рыбу"
+    rows = [(i, f"the cat {i} sat on the mat with {i * 7} dogs" if i % 2500 else few) for i in range(5000)] + [(-1, None), (-2, "a")]
+    texts = table(spark, rows, "doc_id long, text string")
+    got = [lattice_lm.centers(texts.repartition(n).mapInPandas(lattice_lm._counted, "pairs binary"), 3, rounds=2) for n in (1, 3)]
+    assert np.array_equal(got[0], got[1])
+    assert (got[0] @ lattice_lm.byte_pairs(few.encode())).max() > 0.99
