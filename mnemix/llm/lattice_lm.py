@@ -3,8 +3,9 @@
 A text is words and one end. A word is written by the pieces of an existing vocabulary: all its segmentations count,
 each by the product of its pieces' probabilities, and a log-space forward recursion adds them up. The vocabulary's own
 scores are the starting weights; expected piece counts over all training words (forward-backward) re-estimate them.
-A training word also has an arc of its own across the whole word, weighted by a share chosen so that training words
-are best predicted by the others (leave-one-out). The document's probability is the product over its words and end.
+The document's probability (lattice_score) is the product over its words and end. The mixture (score) also gives a training word an arc of
+its own across the whole word, weighted by a share chosen so that training words are best predicted by the others
+(leave-one-out), a departure from the method, and lets a text repeat its words as drawn from an urn.
 
 Texts of several languages are a mixture: each document belongs to one of a few clusters of byte pairs, every cluster
 has piece probabilities, word counts and shares of its own, and a word's arc also draws on the counts of all clusters.
@@ -332,11 +333,12 @@ def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarra
 
 
 def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6, chunk_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every row of docs.
 
     Learns from rows whose crc32 of the id, modulo 5, is not 1. base_score and score are log10 probabilities of the
-    whole text: of a unigram word model with 0.5 added to each count, and of the lattice (with that of the document's
-    cluster). Clusters and all counts cover every training row. A
+    whole text: of a unigram word model with 0.5 added to each count, and of the mixture of the lattice with word counts
+    and urns; lattice_score is that of the lattice alone, the marginal over all segmentations. Both are those of the
+    document's cluster. Clusters and all counts cover every training row. A
     null text is empty: its one token is the end. Without any training row all probabilities come from the
     vocabulary's own scores. Repeated rows and a null id count as documents of their own. The driver keeps cluster
     centers and piece probabilities only, as many as the vocabulary has times clusters; other columns of docs are ignored.
@@ -423,6 +425,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
         place, times = _unpack(row["places"], np.int32), _unpack(row["times"], np.int32)
         owner = np.repeat(np.arange(n_docs), np.diff(np.concatenate([[0], row["ends"]]).astype(int)))
         add = lambda v: np.bincount(owner, v, n_docs) if len(owner) else np.zeros(n_docs)
+        ends = np.log1p(-end[z]) * add(times) + np.log(end[z])
         return pd.DataFrame({
             "doc_id": pd.array(list(row["doc_id"]), dtype="Int64"),
             "held_out": np.array(row["held_out"], bool),
@@ -430,11 +433,12 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
             "n_known": add(times * (total[place] > 0)).astype(np.int64) + int(docs_in > 0),
             "train_tokens": np.full(n_docs, n_all, np.int64),
             "base_score": add(times * base[place]) + np.log10((docs_in + 0.5) / (n_all + 0.5 * (v_all + 1))),
-            "score": (texts_log(lm[place], times, owner, n_docs) + np.log1p(-end[z]) * add(times) + np.log(end[z])) / np.log(10) + log_z[z],
+            "score": (texts_log(lm[place], times, owner, n_docs) + ends) / np.log(10) + log_z[z],
+            "lattice_score": (add(times * log_piece[place]) + ends) / np.log(10) + log_z[z],
         })
 
     of_z = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in zs]), F.col("z") + 1)
     places = entries.select("chunk", "z", "place", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     back = places.join(scored.hint("shuffle_hash"), ["h1", "h2"]).select(F.col("chunk").alias("of_chunk"), "place", of_z("c").alias("c"), "total", of_z("m").alias("log_piece"))
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return chunks.select("chunk", "z", "doc_id", "held_out", "ends", "places", "times").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInPandas(finish, out)

@@ -58,3 +58,20 @@ def test_lattice_clusters_cover_all_texts(spark):
     got = [lattice_lm.centers(texts.repartition(n).mapInPandas(lattice_lm._counted, "pairs binary"), 3, rounds=2) for n in (1, 3)]
     assert np.array_equal(got[0], got[1])
     assert (got[0] @ lattice_lm.byte_pairs(few.encode())).max() > 0.99
+
+
+def test_lattice_alone_is_the_marginal(spark):
+    import public_tokenizers
+
+    # one cluster without rounds: the starting weights give the marginal of each word, known or not
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    voc = lattice_lm.Vocabulary.from_sentencepiece(path)
+    rows = [(i, "the old mill by the river " * (1 + i % 3)) for i in range(40)]
+    got = lattice_lm.score(table(spark, rows, "doc_id long, text string"), path, rounds=0, clusters=1).collect()
+    train = [r for r in got if not r.held_out]
+    end = (len(train) + 1) / (sum(r.n_tokens - 1 for r in train) + len(train) + 2)
+    for r in got:
+        words = rows[r.doc_id][1].encode().split()
+        want = voc.log_words(words, voc.logp).sum() + len(words) * np.log1p(-end) + np.log(end)
+        assert abs(r.lattice_score - want / np.log(10)) < 1e-6 * abs(want)
+        assert r.score > r.lattice_score
