@@ -575,7 +575,9 @@ def q5_densify(spark, sf):
 
     r = checkpointed(ingest.newest_wins(passages(spark, sf)).withColumn("action", F.lit("Passage")))
     none = spark.createDataFrame([], "id string, stem string")
-    return density.densify(M.materialised(M.build(r), checkpointed), r, none, 1, min_links=12)
+    m = M.materialised(M.build(r), checkpointed)
+    failing = density.failures(density.probed(m, checkpoint=checkpointed))
+    return density.densify(m, r, none, 1, min_links=12, failing=failing)
 
 
 @query(f"""WITH {NEAR_SQL}, w AS (SELECT probe, truth, label, round(sum(exp((sim - top) / 0.2)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near WHERE rank <= 8) GROUP BY 1, 2, 3),
