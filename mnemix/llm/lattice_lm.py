@@ -32,6 +32,7 @@ from mnemix.llm.common import fold, saved
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x94D049BB133111EB))
 START = 32  # a space opens each word; no word holds one
+PLAIN = 40  # bytes up to which products of probabilities stay far from the least double
 
 
 class Vocabulary:
@@ -43,9 +44,9 @@ class Vocabulary:
         self._tables()
 
     @classmethod
-    def from_sentencepiece(cls, path: str, longest: int = 16) -> Vocabulary:
-        """Lower-case pieces of at most `longest` bytes. A pair-merge vocabulary's score is minus a rank, a unigram
-        vocabulary's a log probability; ranks weigh by Zipf's law."""
+    def from_sentencepiece(cls, path: str) -> Vocabulary:
+        """Lower-case pieces. A pair-merge vocabulary's score is minus a rank, a unigram vocabulary's a log probability;
+        ranks weigh by Zipf's law."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,7 +55,7 @@ class Vocabulary:
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) or sp.get_score(i) < -1e8:
                 continue
             b = sp.id_to_piece(i).replace("▁", " ").encode("utf-8")
-            if len(b) <= longest and START not in b[1:] and b == b.lower():
+            if START not in b[1:] and b == b.lower():
                 score[b] = sp.get_score(i)
         ranks = bool(score) and min(score.values()) < -1000
         weight = {b: 1 / (10.0 - s) if ranks else float(np.exp(s)) for b, s in score.items()}
@@ -66,12 +67,15 @@ class Vocabulary:
         return cls(pieces, np.log(w / w.sum()))
 
     def _tables(self) -> None:
-        """Three tables of 2^19 slots: a piece is in the first whose slot was free."""
+        """Three tables of 2^19 slots, a piece in the first whose slot was free, and a bit for each longer beginning of a piece."""
         key = np.zeros(len(self.pieces), np.uint64)
+        self.longer = np.zeros(1 << 20, bool)
         for i, b in enumerate(self.pieces):
             h = 0
-            for x in b:
+            for at, x in enumerate(b):
                 h = (h * int(MULT) + x + 1) & 0xFFFFFFFFFFFFFFFF
+                if at < len(b) - 1:
+                    self.longer[(h * int(SLOTS[1]) & 0xFFFFFFFFFFFFFFFF) >> 44] = True
             key[i] = h
         self.key = key
         self.slot = [np.full(1 << 19, -1, np.int32) for _ in SLOTS]
@@ -83,6 +87,7 @@ class Vocabulary:
                     break
             else:
                 raise ValueError("pieces collide")
+        self.taken = self.slot[0] >= 0  # no piece has a hash whose slot is free here
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
@@ -92,53 +97,77 @@ class Vocabulary:
             out = np.where((c >= 0) & (self.key[c] == h), c, out)
         return out
 
-    def arcs(self, x: np.ndarray) -> list[np.ndarray]:
-        """For words of one length as rows of bytes: by piece length l, the piece (or -1) at each start."""
-        n = x.shape[1]
-        h = np.zeros(x.shape, np.uint64)
-        v = x.astype(np.uint64) + np.uint64(1)
+    def arcs(self, x: np.ndarray, logp: np.ndarray, kind: np.ndarray | None = None, log: bool = True) -> list[list[tuple]]:
+        """For words of one length as rows of bytes: by piece length and start, the rows that have a piece there, the piece and its weight.
+
+        logp is (kinds, pieces) where kind names each row's, else (pieces,). A start is followed only while some longer
+        piece begins so.
+        """
+        v = np.ascontiguousarray(x.T).astype(np.uint64) + np.uint64(1)
+        n, m = v.shape
+        flat = logp.ravel() if log else np.exp(logp.ravel())
+        base = np.zeros(m, np.int64) if kind is None else kind.astype(np.int64) * logp.shape[-1]
+        at, row, h = np.repeat(np.arange(n), m), np.tile(np.arange(m), n), v.ravel()
         out = []
         for l in range(1, min(self.longest, n) + 1):
-            h = h[:, : n - l + 1] * MULT + v[:, l - 1 :]
-            out.append(self.find(h))
+            near = np.flatnonzero(self.taken[(h * SLOTS[0]) >> np.uint64(45)])
+            piece = self.find(h[near])
+            is_, piece = near[piece >= 0], piece[piece >= 0].astype(np.int64)
+            r = row[is_]
+            weight, cut = flat[base[r] + piece], np.searchsorted(at[is_], np.arange(n - l + 2))
+            out.append([(r[i:j], piece[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:])])
+            go = np.flatnonzero((at < n - l) & self.longer[(h * SLOTS[1]) >> np.uint64(44)])
+            at, row = at[go], row[go]
+            h = h[go] * MULT + v[at + l, row]
         return out
 
-    def forward(self, x: np.ndarray, logp: np.ndarray, arcs: list[np.ndarray] | None = None) -> np.ndarray:
-        """(words, n + 1) log of the total weight of all segmentations of each beginning."""
-        arcs = arcs or self.arcs(x)
-        n = x.shape[1]
-        a = np.full((len(x), n + 1), -np.inf)
-        a[:, 0] = 0
-        lp = np.append(logp, -np.inf)
+    def forward(self, arcs: list[list[tuple]], n: int, m: int) -> np.ndarray:
+        """(n + 1, words) log of the total weight of all segmentations of each beginning."""
+        a = np.full((n + 1, m), -np.inf)
+        a[0] = 0
         for j in range(1, n + 1):
-            into = np.stack([a[:, j - l] + lp[arcs[l - 1][:, j - l]] for l in range(1, min(len(arcs), j) + 1)])
-            top = into.max(axis=0)
-            safe = np.where(np.isfinite(top), top, 0.0)
-            with np.errstate(divide="ignore"):
-                a[:, j] = safe + np.log(np.exp(into - safe).sum(axis=0))
+            for l in range(1, min(len(arcs), j) + 1):
+                r, _, w = arcs[l - 1][j - l]
+                if len(r):
+                    a[j, r] = np.logaddexp(a[j, r], a[j - l, r] + w)
         return a
 
-    def expected(self, x: np.ndarray, count: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words x that occur count times."""
-        arcs = self.arcs(x)
-        n = x.shape[1]
-        a = self.forward(x, logp, arcs)
-        lp = np.append(logp, -np.inf)
-        b = np.full((len(x), n + 1), -np.inf)
-        b[:, n] = 0
-        total = np.zeros(len(logp) + 1)
+    def expected(self, x: np.ndarray, count: np.ndarray, logp: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+        """Expected uses of each piece in words x that occur count times; with kind, one after another for each kind."""
+        n, m = x.shape[1], len(x)
+        size = logp.shape[-1]
+        base = np.zeros(m, np.int64) if kind is None else kind.astype(np.int64) * size
+        log = n > PLAIN  # short words cannot underflow and need no logarithms
+        arcs = self.arcs(x, logp, kind, log)
+        if log:
+            a, b = self.forward(arcs, n, m), np.full((n + 1, m), -np.inf)
+            b[n] = 0
+        else:
+            a, b = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+            a[0], b[n] = 1, 1
+            for j in range(1, n + 1):
+                for l in range(1, min(len(arcs), j) + 1):
+                    r, _, w = arcs[l - 1][j - l]
+                    a[j, r] += a[j - l, r] * w
+        pieces, shares = [], []
         for i in range(n - 1, -1, -1):
-            out = np.stack([lp[arcs[l - 1][:, i]] + b[:, i + l] for l in range(1, min(len(arcs), n - i) + 1)])
-            top = out.max(axis=0)
-            safe = np.where(np.isfinite(top), top, 0.0)
-            with np.errstate(divide="ignore"):
-                b[:, i] = safe + np.log(np.exp(out - safe).sum(axis=0))
-            share = np.exp(np.minimum(0.0, a[:, i] + out - a[:, n])) * count
-            for l in range(len(out)):
-                total += np.bincount(np.where(arcs[l][:, i] < 0, len(logp), arcs[l][:, i]), share[l], len(total))
-        return total[:-1]
-
-    def by_length(self, words: list[bytes], most_cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for l in range(1, min(len(arcs), n - i) + 1):
+                r, piece, w = arcs[l - 1][i]
+                if not len(r):
+                    continue
+                if log:
+                    out = w + b[i + l, r]
+                    b[i, r] = np.logaddexp(b[i, r], out)
+                    share = np.exp(np.minimum(0.0, a[i, r] + out - a[n, r]))
+                else:
+                    out = w * b[i + l, r]
+                    b[i, r] += out
+                    share = a[i, r] * out / a[n, r]
+                pieces.append(base[r] + piece)
+                shares.append(share * count[r])
+        return np.bincount(np.concatenate(pieces), np.concatenate(shares), logp.size)
+
+    def by_length(self, words: list[bytes], most_cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, bytes) of words of one length each, with the opening space, in blocks of bounded size."""
         size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")
@@ -152,15 +181,15 @@ class Vocabulary:
             yield pick, x
             at = end
 
-    def log_words(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
-        """Log probability of each word among all words.
+    def log_words(self, words: list[bytes], logp: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each word among all words, of its kind.
 
         A word ends where the next piece opens one, so with piece probabilities that add up to 1, and A of them on
         pieces that open a word, the words' marginals add up to A / (1 - (1 - A)) = 1.
         """
         out = np.empty(len(words))
         for pick, x in self.by_length(words):
-            out[pick] = self.forward(x, logp)[:, -1]
+            out[pick] = self.forward(self.arcs(x, logp, None if kind is None else kind[pick]), x.shape[1], len(x))[-1]
         return out
 
 
@@ -284,6 +313,19 @@ def texts_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs
     return np.logaddexp.reduce(np.stack(kinds), axis=0) - np.log(len(kinds))
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterator[pd.DataFrame]:
+    """Batches of about so many rows: long enough for one step of numpy to be worth its call."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class _Places(dict):
     """Words in the order they came, each with its place."""
 
@@ -369,16 +411,15 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v = Vocabulary(*shared.value)
-            total = np.zeros(now.shape)
-            for b in batches:
-                ws = b["word"].to_numpy()
-                for z in zs:
-                    use = b[f"c{z}"].to_numpy() > 0
-                    count = b[f"c{z}"].to_numpy(float)[use]
-                    for pick, x in v.by_length(ws[use].tolist()):
-                        total[z] += v.expected(x, count[pick], now[z])
-            z, used = np.nonzero(total)
-            yield pd.DataFrame({"z": z, "piece": used, "uses": total[z, used]})
+            total = np.zeros(now.size)
+            for b in _gathered(batches):
+                count = b[[f"c{z}" for z in zs]].to_numpy(float)
+                at, kind = np.nonzero(count)
+                ws = b["word"].to_numpy()[at].tolist()
+                for pick, x in v.by_length(ws):
+                    total += v.expected(x, count[at[pick], kind[pick]], now, kind[pick])
+            z, used = np.nonzero(total.reshape(now.shape))
+            yield pd.DataFrame({"z": z, "piece": used, "uses": total.reshape(now.shape)[z, used]})
 
         uses = np.tile(np.exp(voc.logp), (clusters, 1))  # one use in all, spread by the vocabulary's own scores
         for r in words.filter("total > 0").select("word", *[f"c{k}" for k in zs]).mapInPandas(expect, "z long, piece long, uses double").groupBy("z", "piece").agg(F.sum("uses").alias("uses")).collect():
@@ -389,14 +430,11 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
 
     def log_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(*shared.value)
-        for b in batches:
-            ws, met_ = b["word"].to_numpy(), b["met"].to_numpy()
-            for z in zs:
-                use = (met_ >> z & 1) == 1
-                out = np.zeros(len(b))
-                out[use] = v.log_words(ws[use].tolist(), final[z])
-                b[f"m{z}"] = out
-            yield b.drop(columns=["word"])
+        for b in _gathered(batches):
+            at, kind = np.nonzero(b["met"].to_numpy()[:, None] >> np.array(zs) & 1)
+            out = np.zeros((len(b), clusters))
+            out[at, kind] = v.log_words(b["word"].to_numpy()[at].tolist(), final, kind)
+            yield b.drop(columns=["word"]).assign(**{f"m{z}": out[:, z] for z in zs})
 
     numbers = ["h1", "h2", "met", *[f"c{k}" for k in zs], "total"]
     kept = ", ".join(f"{c} {'int' if c == 'met' else 'long'}" for c in numbers)
