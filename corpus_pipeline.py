@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemix.llm import decontaminate, jaccard_join, lang_id, mixing, pii
-from mnemix.llm.common import read, saved
+from mnemix.llm.common import pii_key, read, saved
 
 UNSURE = 0.3  # a pooled probability of the best language below this rejects a document
 
@@ -38,7 +38,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values in texts become pseudonyms; n_chars follows."""
-    out = pii.pseudonymize(docs)
+    out = pii.pseudonymize(docs, pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

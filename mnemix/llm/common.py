@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The pseudonyms' secret key: spark.mnemix.pii.key of the session; a session without one, as in tests, gets a public one."""
+    return spark.conf.get("spark.mnemix.pii.key", "a public key, for tests only")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -11,23 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "mnemix"
 ROUNDS = 8
 
 # The formats that are looked for.
 EMAIL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-IP = r"(?<![\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{N}]|\.[\p{N}])"
+IP = r"(?<![\p{N}.])(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})(?![\p{N}]|\.[\p{N}])"
 DATE = r"(?<![\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{N}]|[./-][\p{N}])"
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}]|-[\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?!\p{N})|(?<![\p{L}\p{N}])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?!\p{N})"
-NUMBER = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?!\p{N})"
+NUMBER = r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{4}|(?:[0-9]{4}-){3}[0-9]{4}|[0-9](?:[ -]?[0-9]){12,18})(?!\p{N})"
 ANY = "|".join((EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, NUMBER))
-QUICK = r"@|[0-9][^\n]{0,3}[0-9]"
+QUICK = r"@|[0-9][^\n]{0,3}[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"  # every text with a match of ANY has one of this
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FIRST_DAY, DAYS = "1800-01-01", (365, 400)
+FIRST_DAY, DAYS = "1800-01-01", (189, 773)  # whose product is the number of days from 1800 to 2199
+FIRST_YEAR, MONTHS, LATE = 1800, 4800, 19  # the same years in months, and the days from 13 to 31
 
 
 def _number(hexes: Column) -> Column:
@@ -121,6 +121,25 @@ def _date(m: Column, key: str, form: str) -> Column:
     return F.when(day.between(0, a * b - 1), F.get(new, F.lit(0))).otherwise(m)
 
 
+def _late_date(m: Column, key: str) -> Column:
+    """A dd/MM/yyyy date that cannot be read as MM/dd/yyyy, so of a day after the twelfth, among those of its kind.
+
+    Months and late days are permuted as a pair, again and again until the pair is a day of the calendar: whichever day
+    the walk starts from, the walk back finds it.
+    """
+    day, month, year = (F.substring(m, at, n).cast("int") for at, n in ((1, 2), (4, 2), (7, 4)))
+    place = lambda x: F.make_date((F.lit(FIRST_YEAR) + F.floor(x["l"] / 12)).cast("int"), (x["l"] % 12 + 1).cast("int"), F.lit(1))
+    real = lambda x: x["r"] + 13 <= F.dayofmonth(F.last_day(place(x)))
+    once = lambda x: permuted_pair(x["l"], x["r"], MONTHS, LATE, key, "late date")
+    start = F.struct(((year - FIRST_YEAR) * 12 + month - 1).cast("long").alias("l"), (day - 13).cast("long").alias("r"))
+    walk = lambda x, i: F.when((i > 1) & real(x), x).otherwise(once(x))
+    # one pair in thirty is no day, so a walk of forty steps that has not met one would need a chance of 1e-60
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, walk)
+    text = lambda x: F.concat_ws("/", F.lpad((x["r"] + 13).cast("string"), 2, "0"), F.date_format(place(x), "MM/yyyy"))
+    inside = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull() & year.between(FIRST_YEAR, FIRST_YEAR + MONTHS // 12 - 1)
+    return F.when(inside, F.get(F.transform(F.array(end), text), F.lit(0))).otherwise(m)
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
     p = permuted_pair(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
@@ -136,11 +155,11 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _number_of(m: Column, key: str) -> Column:
-    """A number of 13 to 19 digits: the last digit is set so that the Luhn sum stays what it was, valid or not."""
+    """A number of 13 to 19 digits whose Luhn sum is valid: all digits but the last are permuted, the last makes the sum valid again."""
     d = digits_of(m)
     body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "number")
-    new = F.transform(F.array(body), lambda x: F.concat(x, F.pmod(luhn(d) - luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
-    return put_back(m, F.get(new, F.lit(0)))
+    new = F.transform(F.array(body), lambda x: F.concat(x, F.pmod(-luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when(luhn(d) == 0, put_back(m, F.get(new, F.lit(0)))).otherwise(m)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -161,7 +180,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole(IBAN), _iban(m, key))
         .when(whole(IP), _ip(m, key))
         .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(m, key, "yyyy-MM-dd"))
-        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.when(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull(), _date(m, key, "MM/dd/yyyy")).otherwise(_date(m, key, "dd/MM/yyyy")))
+        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.when(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull(), _date(m, key, "MM/dd/yyyy")).otherwise(_late_date(m, key)))
         .when(m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(m, key, "dd.MM.yyyy"))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key))
         .when(whole(PHONE), _phone(m, key))
@@ -169,12 +188,13 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with the values in column replaced and n_values, how many were found in it by their form, valid or not.
+def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """docs with the values in column replaced under the secret key, and n_values, how many were found in it by their form, valid or not.
 
     A null text stays null with 0 values, an empty one empty. Rows are independent; very long texts are cut at their
     values only. Other columns stay as they are, but for one named n_values, which is replaced. Dates outside 1800 to
-    2199, addresses with a number above 255, and IBANs with wrong check digits are left alone.
+    2199, addresses with a number above 255, long numbers with a wrong Luhn sum and IBANs with wrong check digits are
+    left alone. Dates with slashes are MM/dd/yyyy where they can be, else dd/MM/yyyy, and stay what they are.
     """
     t = F.col(column)
     some = F.coalesce(t.rlike(QUICK), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemix.llm import ann, decontaminate, html_text, jaccard_join, lang_id, lattice_lm, mixing, pii, quality, token_count
-from mnemix.llm.common import fold, read
+from mnemix.llm.common import fold, pii_key, read
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+    return pii.pseudonymize(read(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_values")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
