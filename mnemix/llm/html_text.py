@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas select textarea title xmp noembed noframes".split())
+RAW = frozenset("script style template iframe textarea title".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -97,7 +97,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            same = {"p"} if tag not in ("li", "td", "th", "tr", "dt", "dd") else {"p", tag}
+            same = {"p"} if tag not in ("li", "td", "th", "tr", "dt", "dd", "option") else {"p", tag}
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag in same:
                     del stack[i:]
@@ -243,17 +243,24 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
 
     def put(tag: str, text: str, label: int, link: bool = False, close: bool = True) -> None:
         body = f'<a href="/{word()}">{text}</a>' if link else text
-        if label and r.random() < 0.2:
+        if label and r.random() < 0.05:
+            body = f"{body} <math><mi>{word()}</mi> = <mn>2</mn></math>" if r.random() < 0.5 else f"<object>{body}</object>"
+        elif label and r.random() < 0.2:
             body = f"<b>{body}" + ("</b>" if r.random() < 0.5 else "<br>")
         out.append(f"<{tag}>{body}" + (f"</{tag.split()[0]}>" if close else ""))
         labels.append(label)
 
+    def hidden(label: int) -> None:
+        how = r.choice([' style="display:none"', " style='display: none'", " hidden", ' aria-hidden="true"', ' style="visibility:hidden"'])
+        tag = r.choice(["p", "div", "p", "section"])
+        put(f"{tag}{how}", prose(), label)
+
     def furniture(kind: str) -> None:
         plain = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         names = {
-            "nav": ["nav", "menu", "navbar", "breadcrumb", "navigation", "toc", "pagination"], "header": ["header", "top", "masthead", "banner", "site-header"], "footer": ["footer", "bottom", "copyright", "site-footer", "colophon"],
-            "aside": ["sidebar", "side", "related", "widget", "recommended", "newsletter", "share", "social", "tags", "promo"], "ad": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner"],
-            "notice": ["cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "subscribe", "overlay"], "comments": ["comments", "comment", "comment-list", "disqus", "replies", "discussion", "responses", "reader-comments"],
+            "nav": ["nav", "menu", "navbar", "breadcrumb", "navigation", "toc", "pagination", "menue", "navegacion", "navi"], "header": ["header", "top", "masthead", "banner", "site-header"], "footer": ["footer", "bottom", "copyright", "site-footer", "colophon", "fusszeile", "pied", "pie", "impressum"],
+            "aside": ["sidebar", "side", "related", "widget", "recommended", "newsletter", "share", "social", "tags", "promo", "seitenleiste", "lateral"], "ad": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "werbung", "anzeige", "publicite", "publicidad", "pub"],
+            "notice": ["cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "subscribe", "overlay", "hinweis", "avis", "aviso"], "comments": ["comments", "comment", "comment-list", "disqus", "replies", "discussion", "responses", "reader-comments", "kommentare", "kommentar", "commentaires", "comentarios", "commenti"],
             "form": ["form", "search", "login", "signup", "newsletter", "contact"],
         }[kind]
         tag = plain if plain and r.random() < 0.6 else r.choice(["div", "section"] if kind in ("comments", "notice") else ["div"])
@@ -272,6 +279,11 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
         elif kind == "form":
             put("label", some(1, 3), 0)
             out[-1] = out[-1].replace("<label>", "<div>").replace("</label>", "</div>") + '<input type="text">'
+            if r.random() < 0.3:
+                out.append("<select>")
+                for _ in range(r.randint(2, 4)):
+                    put("option", some(1, 2), 0, close=r.random() < 0.7)
+                out.append("</select>")
             if r.random() < 0.5:
                 put("button", some(1, 2), 0)
         else:
@@ -282,9 +294,11 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
                     out[-1] = out[-1].replace("<span>", "<p>").replace("</span>", "</p>")
         out.append(f"</{tag}>")
 
-    for kind in r.sample(["nav", "header", "notice", "ad", "form"], r.randint(1, 4)):
+    for kind in r.sample(["nav", "header", "notice", "ad", "form"], r.randint(0, 4)):
         furniture(kind)
-    tag, name = r.choice([("article", ""), ("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' class="article-body"'), ("div", ' id="main"'), ("div", ' class="post-content entry"'), ("section", ' class="story text"'), ("div", "")])
+    if r.random() < 0.2:
+        hidden(0)
+    tag, name = r.choice([("article", ""), ("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' class="article-body"'), ("div", ' id="main"'), ("div", ' class="post-content entry"'), ("section", ' class="story text"'), ("div", ""), ("div", ' class="artikel"'), ("div", ' class="contenu"'), ("div", ' class="contenido"'), ("div", ' class="beitrag inhalt"')])
     out.append(f"<{tag}{name}>")
     put(r.choice(["h1", "h1", "h1", "h2"]), some(3, 10).capitalize(), 1)
     for i in range(r.randint(1, 14)):
@@ -302,8 +316,10 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
             put("p", prose(), 1, close=r.random() < 0.8)
         if r.random() < 0.05:
             furniture(r.choice(["ad", "aside", "notice", "form"]))
+        if r.random() < 0.04:
+            hidden(0)
     out.append(f"</{tag}>")
-    for kind in r.sample(["comments", "aside", "footer", "ad", "nav", "notice"], r.randint(1, 4)):
+    for kind in r.sample(["comments", "aside", "footer", "ad", "nav", "notice"], r.randint(0, 4)):
         furniture(kind)
     return "<html><head><title>x</title></head><body>" + "".join(out) + "</body></html>", labels
 
@@ -325,8 +341,10 @@ def train(n_pages: int = 500, seed: int = 11) -> Field:
 def extract(pages: DataFrame, field_: Field, column: str = "html") -> DataFrame:
     """pages with text, the blocks labelled main in page order joined by line feeds, and n_chars, its code points.
 
-    A null or empty page gives an empty text; a page cut off anywhere is read as far as it goes. Rows are independent;
-    columns of pages with these names are replaced.
+    A null or empty page gives an empty text; a page cut off anywhere is read as far as it goes. Only the content of
+    scripts, styles, templates, frames, text areas and titles is skipped unread, and to the page's end where it never
+    closes; every other element's blocks are labelled. Rows are independent; columns of pages with these names are
+    replaced.
     """
 
     @F.pandas_udf("string")

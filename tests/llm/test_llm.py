@@ -208,8 +208,57 @@ def test_field_on_unseen_layouts():
     assert f.main_text(None) == f.main_text("") == "" and f.main_text("<p") == ""
 
 
+def best_labels(f, seq):
+    """Viterbi's answer by trying all sequences of labels."""
+    feats = html_text.features(seq)
+    zero = np.zeros(2)
+
+    def value(y):
+        return sum(sum(f.weight.get(n, zero)[l] for n in x) for x, l in zip(feats, y)) + sum(f.next[a, b] for a, b in zip(y, y[1:]))
+
+    return max(itertools.product((0, 1), repeat=len(seq)), key=value)
+
+
+def test_viterbi_brute_force():
+    f, r, n = html_text.train(60), random.Random(78), 0
+    while n < 12:
+        seq = html_text.blocks(html_text.sample_page(r)[0])[:11]
+        assert f.decode(seq) == list(best_labels(f, seq))
+        n += 1
+
+
+def test_field_gradient_is_that_of_the_likelihood():
+    """Marginals by forward-backward against sums over all label sequences."""
+    f, e = html_text.Field(), np.random.default_rng(0).normal(size=(5, 2))
+    f.next = np.random.default_rng(1).normal(size=(2, 2))
+    node, edge = f._marginals(e)
+    want_n, want_e, z = np.zeros((5, 2)), np.zeros((2, 2)), 0.0
+    for y in itertools.product((0, 1), repeat=5):
+        p = math.exp(sum(e[i, l] for i, l in enumerate(y)) + sum(f.next[a, b] for a, b in zip(y, y[1:])))
+        z += p
+        for i, l in enumerate(y):
+            want_n[i, l] += p
+        for a, b in zip(y, y[1:]):
+            want_e[a, b] += p
+    assert np.allclose(node, want_n / z) and np.allclose(edge, want_e / z)
+
+
+def test_hidden_foreign_and_unclosed_elements():
+    f = html_text.train()
+    p = lambda n: "".join(f"<p>Satz {i} des Textes ist hier zu lesen und endet so.</p>" for i in range(n))
+    text = lambda n: "\n".join(f"Satz {i} des Textes ist hier zu lesen und endet so." for i in range(n))
+    assert f.main_text(f"<body><div><h1>Der Titel</h1>{p(3)}<p style='display:none'>Versteckt ist dieser Satz hier.</p></div></body>") == "Der Titel\n" + text(3)
+    assert f.main_text(f"<article><h1>Der Titel</h1>{p(3)}</article><div class='kommentare'><p>Sehr gut geschrieben, danke.</p></div>") == "Der Titel\n" + text(3)
+    assert f.main_text("<article><h1>Der Titel</h1><p>Wir setzen <math><mi>x</mi> = <mn>2</mn></math> in den Satz ein.</p></article>") == "Der Titel\nWir setzen x = 2 in den Satz ein."
+    for tag in ("noscript", "object", "canvas", "svg", "math"):  # never closed: what follows is still read
+        assert f.main_text(f"<{tag}></{tag}><article><h1>Der Titel</h1>{p(2)}<{tag}>{p(2)}</article>").startswith("Der Titel\n" + text(2))
+    long_ = p(4000)
+    assert f.main_text(f"<article>{long_}</article>") == text(4000)
+
+
 def test_extract_odd_pages(spark):
     f = html_text.train(100)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), f).count() == 0
     d = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<article><p>Some text here.</p></article>"), (3, "u", "<article><p>Some text here.</p></article>")], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.extract(d.withColumn("text", F.lit(1)), f).orderBy("page_id").collect()] == [0, 0, 15, 15]
 
