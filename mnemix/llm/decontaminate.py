@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mnemix.llm.common import saved
 
-SHORTEST = 4  # items of fewer words are not looked for
+SHORTEST = 4  # items of fewer words are common turns of phrase: they are looked for as whole texts only
 SEED_LIMIT = 1_000_000  # 16 bytes each: the bound under which benchmark seeds are broadcast
 
 
@@ -100,7 +100,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
 
     at_word is where in the document the item's first word would lie; n_words is the length of the compared run
     (`least`, or the item's length if shorter), n_equal the most equal words in such a run; at least share of them are
-    equal, whichever they are. Items of fewer than four words are not looked for. Null and empty texts have no words. A null item_id
+    equal, whichever they are. Items of one to three words, which clean documents hold by chance, overlap a document that
+    is nothing else. Null and empty texts have no words. A null item_id
     is a value like others; documents without an id are reported under a null id. Repeated rows give one result; an
     empty table on either side gives none. Seeds of the benchmark are broadcast only where their number is within
     seed_limit; beyond it the join shuffles both sides.
@@ -130,11 +131,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     checked = pairs.select("doc_id", F.col("h_item").alias("item_id"), F.col("shift").cast("long").alias("at_word"), run.alias("n_words"), equal.alias("equal"), "words")
     checked = checked.select("doc_id", "item_id", "at_word", "n_words", best.alias("n_equal")).filter(F.col("n_equal") >= F.ceil(F.col("n_words") * share))
     top = F.max(F.struct("n_equal", (-F.col("at_word")).alias("before"), "n_words")).alias("top")
-    out = checked.groupBy("doc_id", "item_id").agg(top)
+    brief = items.filter(F.size("words").between(1, SHORTEST - 1)).select("item_id", "words", F.xxhash64("words").alias("key"))
+    few = docs.select("doc_id", word_hashes(F.col("text")).alias("doc_words")).filter(F.size("doc_words").between(1, SHORTEST - 1))
+    whole = few.withColumn("key", F.xxhash64("doc_words")).join(brief, "key").filter(F.col("doc_words") == F.col("words"))
+    n = F.size("words")
+    whole = whole.select("doc_id", "item_id", F.lit(0).cast("long").alias("at_word"), n.alias("n_words"), n.alias("n_equal"))
+    out = checked.unionByName(whole).groupBy("doc_id", "item_id").agg(top)
     return out.select("doc_id", "item_id", (-F.col("top.before")).alias("at_word"), F.col("top.n_words").alias("n_words"), F.col("top.n_equal").alias("n_equal"))
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without those that overlap an item."""
-    leaked = found.select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    leaked = found.select(F.col("doc_id").alias("__leaked")).distinct()
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["__leaked"]), "left_anti")

@@ -30,7 +30,12 @@ def odd(spark):
     """Null and empty texts, null ids, repeated rows, a long text, and columns named like results."""
     long_ = "wort " * 20000
     rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, "no id here at all, none", "en", "a", 9), (3, "same row twice in this table", "de", "a", 9), (3, "same row twice in this table", "de", "a", 9), (4, long_, "de", None, 9), (5, " \t\n", "en", "b", 3), (6, "12 34 !!", "en", "b", 8)]
-    return spark.createDataFrame(rows, DOC).withColumns({n: F.lit("x") for n in ("score", "lang_pred", "predicted", "n_tokens", "n_bytes", "over_limit", "n_values", "taken", "class_id", "held_out", "size")})
+    return spark.createDataFrame(rows, DOC).withColumns({n: F.lit("x") for n in ("score", "lang_pred", "predicted", "n_tokens", "n_bytes", "over_limit", "n_values", "taken", "class_id", "held_out", "size", *INNER)})
+
+
+# names that operators and stages use inside
+INNER = """leaked __leaked t_id doc_words words equal doc_at each seed shift h_doc h_item i_item item_id item_at at_word n_words key run top before k1 k2 rep copies prefixes keys sizes
+bucket tid class links source_size target rate base pi block blocks g_source g_size n_rows m_id m_source __size __id __rows __label __found pairs chunk z place lang_score x doc trusted sampled n_links root node""".split()
 
 
 def empty(spark):
@@ -427,6 +432,10 @@ def test_decontamination(spark):
         assert got == {(0, 1), (1, 1), (3, 2)}
     found = decontaminate.overlaps(docs(spark, texts), bench)
     assert {x.doc_id for x in decontaminate.clean(docs(spark, texts), found).collect()} == {2, 4, 5, 6}
+    brief = spark.createDataFrame([(7, "Yes, please"), (8, "no"), (9, "")], "item_id long, text string")
+    got = decontaminate.overlaps(docs(spark, ["yes PLEASE!", "yes please do", "No", "no no", "a no b", ""]), brief).collect()
+    assert sorted((g.doc_id, g.item_id, g.n_equal) for g in got) == [(0, 7, 2), (2, 8, 1)]
+    assert decontaminate.clean(odd(spark), found).count() == 5  # of the ids found, 0, 1 and 3, the odd rows hold 1, and 3 twice
     assert decontaminate.overlaps(odd(spark), bench).count() == 0 and decontaminate.overlaps(empty(spark), bench).count() == 0
     assert decontaminate.overlaps(docs(spark, texts), bench.limit(0)).count() == 0
 
