@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemix.operators import density, experience, retrieval, topology
 from mnemix.operators import memory as M
 from mnemix.sources import ingest
+from mnemix.sources.tables import checkpointed
 
 RECORD = "id string, doc_seq long, passage_seq int, action string, text string, data array<string>, access array<string>, events array<string>"
 LINK = "owner string, target string"
@@ -62,7 +63,7 @@ class Engine:
 
     def memory(self) -> M.Memory:
         if self._memory is None:
-            self._memory = M.materialised(M.build(self.table("records"), self.table("links"), self.table("concepts")), topology.checkpointed)
+            self._memory = M.materialised(self.table("records"), self.table("links"), self.table("concepts"))
         return self._memory
 
     # methods --------------------------------------------------------------------------------------------------------
@@ -73,13 +74,13 @@ class Engine:
     def ingest_batch(self, docs: DataFrame) -> dict:
         """docs (doc_seq, text, format, source): parsed, merged newest-wins with what is there."""
         kind = F.when(F.col("format") == "auto", ingest.detect_format(F.col("text"))).otherwise(F.col("format"))
-        d = topology.checkpointed(docs.withColumn("format", kind))
+        d = checkpointed(docs.withColumn("format", kind))
         none = F.array().cast("array<string>")
-        atf = topology.checkpointed(ingest.parse_atf(d.filter("format = 'atf'")))
+        atf = checkpointed(ingest.parse_atf(d.filter("format = 'atf'")))
         kept = d.filter("format <> 'atf'").unionByName(d.filter("format = 'atf'").join(atf.select("doc_seq").distinct(), "doc_seq", "left_anti"))
         prose = ingest.passages(kept).select("id", "doc_seq", "passage_seq", F.lit("Passage").alias("action"), "text", "data", none.alias("access"), none.alias("events"))
         own = atf.select("id", "doc_seq", F.col("section").cast("int").alias("passage_seq"), "action", "text", "data", "access", "events")
-        new = topology.checkpointed(ingest.newest_wins(prose.unionByName(own)))
+        new = checkpointed(ingest.newest_wins(prose.unionByName(own)))
         links = atf.select(F.col("id").alias("owner"), F.explode("links").alias("target"))
         self._commit(
             records=ingest.upsert(self.table("records"), new),
@@ -89,14 +90,14 @@ class Engine:
         return self.stats() | {"ingested": new.count()}
 
     def query(self, q: str | DataFrame, k: int = 5) -> DataFrame:
-        return retrieval.cascade(self.memory(), self._queries(q), k, topology.checkpointed)
+        return retrieval.cascade(self.memory(), self._queries(q), k, checkpointed)
 
     def _queries(self, q: str | DataFrame) -> DataFrame:
         return self.spark.createDataFrame([(0, q)], "query_id long, q string") if isinstance(q, str) else q
 
     def context(self, q: str | DataFrame, k: int = 5, max_chars: int = 2000) -> DataFrame:
         """Context text of each query; empty where the result is to be handed off."""
-        hits = topology.checkpointed(self.query(q, k))
+        hits = checkpointed(self.query(q, k))
         lines = hits.filter("not handoff").join(self.memory().nodes.select(F.col("node_id").alias("id"), "label", "text"), "id")
         return self._queries(q).select("query_id").join(retrieval.context(lines, max_chars), "query_id", "left").fillna("", ["context"])
 
@@ -113,7 +114,7 @@ class Engine:
         return density.report(self.memory()).first().asDict()
 
     def ensure_density(self, rounds: int = 3) -> dict:
-        _, concepts = density.ensure(self.table("records"), self.table("links"), rounds, topology.checkpointed)
+        _, concepts = density.ensure(self.table("records"), self.table("links"), rounds, checkpointed)
         self._commit(concepts=concepts)
         return self.density()
 
@@ -136,7 +137,7 @@ class Engine:
         return self.loo_accuracy()
 
     def loo_accuracy(self, k: int = 8) -> dict:
-        e = topology.checkpointed(self.table("experience"))
+        e = checkpointed(self.table("experience"))
         out = {}
         for r in e.select("question").distinct().collect():
             c = e.filter(F.col("question") == r.question)

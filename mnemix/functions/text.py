@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no content.
 STOPWORDS = (
@@ -19,16 +22,14 @@ SUFFIXES = (
     ("ies", "y", 4), ("ied", "y", 4), ("sses", "ss", 4), ("es", "", 3), ("ing", "", 4), ("ed", "", 4), ("s", "", 4),
 )
 SIBILANT, PLAIN_S = "(?:s|x|z|ch|sh)es$", "(?:ss|us|is)$"
+# The low halves of the 64-bit FNV-1a offset basis and prime.
+FNV_START, FNV_PRIME = 0x84222325, 0x1B3
 # Scripts written without spaces.
 UNSPACED = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\u0E00-\\u0E7F\\x{20000}-\\x{2FA1F}"
-# A small list of its own for the loader's tokens.
+# The words that the loader's tokens leave out.
 LOADER_STOPWORDS = "a an and are as at be but by for from has have in is it its of on or that the this to was were will with".split()
 
 
-def _literals(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def split_words(text: Column) -> Column:
     """Lower-case word parts: split at what is not alphanumeric, at camel-case and digit boundaries; unspaced runs become bigrams."""
     s = F.coalesce(text, F.lit(""))
@@ -46,8 +47,7 @@ def split_words(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Content words in order, repeats kept: no stop words, no single characters but digits and unspaced ones."""
-    stop = _literals(STOPWORDS)
-    return F.filter(split_words(text), lambda w: ~F.array_contains(stop, w) & ((F.length(w) > 1) | w.rlike(f"^[0-9{UNSPACED}]$")))
+    return F.filter(split_words(text), lambda w: ~w.isin(STOPWORDS) & ((F.length(w) > 1) | w.rlike(f"^[0-9{UNSPACED}]$")))
 
 
 def stem(word: Column) -> Column:
@@ -91,14 +91,40 @@ def capitalize(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
 
 
+def _fnv_of(texts: pd.Series) -> pd.Series:
+    """All texts at once, byte place by byte place, the longest first: at each place those that still have a byte are a beginning."""
+    raw = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint32)
+    n = size[order]
+    starts = np.cumsum(n) - n
+    h = np.full(len(raw), FNV_START, np.uint32)
+    for at in range(int(n[0]) if len(n) else 0):
+        k = int(np.searchsorted(-n, -at, side="left"))
+        if k < 4:  # few long texts are left: plain numbers are faster
+            for i in range(k):
+                v = int(h[i])
+                for x in data[starts[i] + at : starts[i] + n[i]].tolist():
+                    v = ((v ^ x) * FNV_PRIME) & 0xFFFFFFFF
+                h[i] = v
+            break
+        h[:k] = (h[:k] ^ data[starts[:k] + at]) * np.uint32(FNV_PRIME)
+    out = np.empty(len(raw), object)
+    for i, v in zip(order.tolist(), h.tolist()):
+        out[i] = None if texts.iloc[i] is None else f"{v:08x}"
+    return pd.Series(out)
+
+
+@F.pandas_udf(StringType())
+def _fnv32(texts: pd.Series) -> pd.Series:
+    return _fnv_of(texts)
+
+
 def fnv32(text: Column) -> Column:
-    """The low 32 bits of the 64-bit FNV-1a hash as eight hex digits; the prime is 435 modulo 2^32."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    byte = lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    n = (F.length(h) / 2).cast("int")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    out = F.aggregate(places, F.lit(2216829733).cast("long"), lambda acc, i: acc.bitwiseXOR(byte(i)) * 435 % (1 << 32))
-    return F.lower(F.lpad(F.hex(out), 8, "0"))
+    """The low 32 bits of the 64-bit FNV-1a hash as eight hex digits, by whole Arrow batches: a fold over bytes as a
+    lambda costs some hundred times as much."""
+    return _fnv32(text)
 
 
 # Code point ranges of the scripts that are told apart.
@@ -174,6 +200,5 @@ def keywords(text: Column, n: int) -> Column:
 
 def loader_terms(text: Column) -> Column:
     """The loader's own tokens: runs of ASCII letters and digits, longer than two, outside a small list; a sorted set."""
-    stop = _literals(LOADER_STOPWORDS)
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(LOADER_STOPWORDS))))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemix.functions import text as T
+from mnemix.sources.tables import saved
 
 LABEL_WEIGHT, TEXT_WEIGHT = 3.0, 1.0
 LEVEL_RANK = {"function": 0, "data": 1, "concept": 2, "event": 3, "access": 4}
@@ -95,13 +97,39 @@ def build(records: DataFrame, context: DataFrame | None = None, concepts: DataFr
     return Memory(nodes, links, postings, lengths(nodes, postings))
 
 
-def from_passages(passages: DataFrame) -> Memory:
-    return build(passages.withColumn("action", F.lit("Passage")))
+class Materialised:
+    """The tables of build(), each written when it is first asked for and made from the ones before it."""
 
+    def __init__(self, records: DataFrame, context: DataFrame | None = None, concepts: DataFrame | None = None):
+        self._given = records, context, concepts
 
-def materialised(memory: Memory, checkpoint) -> Memory:
-    """The tables written once, for queries that read them several times."""
-    return Memory(*[checkpoint(d) for d in (memory.nodes, memory.links, memory.postings, memory.lengths)])
+    @cached_property
+    def records(self) -> DataFrame:
+        return saved(self._given[0], "records")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return saved(typed_links(self.records, *self._given[1:]), "links")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return saved(node_table(self.records, self.links), "nodes")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return saved(weighted_postings(self.nodes), "postings")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return saved(lengths(self.nodes, self.postings), "lengths")
+
+
+def materialised(records: DataFrame, context: DataFrame | None = None, concepts: DataFrame | None = None) -> Materialised:
+    return Materialised(records, context, concepts)
+
+
+def passage_memory(passages: DataFrame) -> Materialised:
+    return Materialised(passages.withColumn("action", F.lit("Passage")))
 
 
 def neighbourhood(links: DataFrame, seeds: DataFrame, most_degree: int = 25, limit: int = 200) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemix.functions import text as T
 from mnemix.operators.memory import Memory, both_ways, stem_postings, vocabulary, vocabulary_grams
+from mnemix.sources.tables import saved
 
 K1, B = 1.2, 0.75
 POOL, RRF = 50, 60
@@ -20,11 +21,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, node_id, score) for (query_id, term, weight); N and the mean length are over all nodes."""
+    """(query_id, node_id, score) for (query_id, term, weight); N and the mean length are over all nodes.
+
+    The asked terms' postings are taken out first, once; what is joined and shuffled after that grows with them only.
+    """
     stats = lengths.agg(F.count("*").alias("n_all"), F.avg("len").alias("avg_len"))
-    found = postings.join(weighted.select("query_id", "term", "weight"), "term")
-    df = postings.join(weighted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    d = found.join(df, "term").join(lengths, "node_id").join(F.broadcast(stats))  # one row of statistics
+    asked = weighted.select("query_id", "term", "weight")
+    held = saved(postings.join(asked.select("term").distinct(), "term", "left_semi").join(lengths, "node_id"), "asked")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    d = held.join(asked.join(df, "term"), "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return d.groupBy("query_id", "node_id").agg(F.sum(part).alias("score"))
@@ -40,11 +45,19 @@ def similar_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4, k: int
 
 
 def substring_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, node_id): the whole query, lower-case, within an id or label; for queries of content and three characters."""
+    """(query_id, node_id): the whole query, lower-case, within an id or label; for queries of content and three characters.
+
+    A name that holds the query holds each of its three-character windows, so the names meet the query under the
+    window that the fewest names have, by an equi-join, and only those are looked through.
+    """
     q = queries.filter((F.size(T.terms(F.col("q"))) > 0) & (F.length(F.trim("q")) >= 3)).select("query_id", F.lower("q").alias("lq"))
-    inside = F.contains("lower_id", F.col("lq")) | F.contains("lower_label", F.col("lq"))
-    low = nodes.select("node_id", F.lower("node_id").alias("lower_id"), F.lower("label").alias("lower_label"))
-    return low.join(q, inside).select("query_id", "node_id")
+    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+    asked = q.select("query_id", "lq", F.explode(windows(F.col("lq"))).alias("w"))
+    names = nodes.select("node_id", F.explode(F.array_distinct(F.array(F.lower("node_id"), F.lower("label")))).alias("name"))
+    held = saved(names.select("node_id", "name", F.explode(windows(F.col("name"))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi"), "windows")
+    few = asked.join(held.groupBy("w").agg(F.count("*").alias("n")), "w", "left").groupBy("query_id", "lq").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("b"))
+    found = held.join(few.filter("b.n > 0").select("query_id", "lq", F.col("b.w").alias("w")), "w")
+    return found.filter(F.contains("name", F.col("lq"))).select("query_id", "node_id").distinct()
 
 
 def spread(scores: DataFrame, memory: Memory) -> DataFrame:
@@ -78,8 +91,8 @@ def stages(memory: Memory, queries: DataFrame, checkpoint=lambda d: d) -> tuple[
     qt = query_terms(queries)
     once = qt.select("query_id", "term").distinct().withColumn("weight", F.lit(1.0))
     share = lambda hit: qt.join(hit, ["query_id", "term"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("coverage"))
-    exact = bm25(memory.postings, memory.lengths, once)
-    sub = substring_hits(memory.nodes, queries)
+    exact = saved(bm25(memory.postings, memory.lengths, once), "exact")
+    sub = saved(substring_hits(memory.nodes, queries), "substring")
     top = exact.groupBy("query_id").agg(F.max("score").alias("top"))
     boost = sub.join(top, "query_id").select("query_id", "node_id", (0.25 * F.col("top")).alias("score"))
     exact = exact.unionByName(boost).groupBy("query_id", "node_id").agg(F.sum("score").alias("score"))
@@ -98,7 +111,8 @@ def stages(memory: Memory, queries: DataFrame, checkpoint=lambda d: d) -> tuple[
     stems = stem_postings(memory.postings)
     here = once.join(left.select("query_id"), "query_id", "left_semi")
     stemmed = here.select("query_id", "term", T.stem(F.col("term")).alias("s"))
-    found = bm25(stems, memory.lengths, stemmed.select("query_id", F.col("s").alias("term")).distinct().withColumn("weight", F.lit(1.0)))
+    stems = saved(stems.join(stemmed.select(F.col("s").alias("term")).distinct(), "term", "left_semi"), "stems")
+    found = saved(bm25(stems, memory.lengths, stemmed.select("query_id", F.col("s").alias("term")).distinct().withColumn("weight", F.lit(1.0))), "stemmed")
     scores.append(found)
     hit = stemmed.join(stems.select(F.col("term").alias("s")).distinct(), "s").select("query_id", "term").withColumn("hit", F.lit(1.0))
     verdicts.append(share(hit).join(found.select("query_id").distinct(), "query_id").withColumn("stage", F.lit("stem")))
@@ -106,9 +120,9 @@ def stages(memory: Memory, queries: DataFrame, checkpoint=lambda d: d) -> tuple[
 
     here = once.join(left.select("query_id"), "query_id", "left_semi")
     near = similar_terms(vocabulary(memory.postings), here.select(F.col("term").alias("word")))
-    used = here.select("query_id", F.col("term").alias("word")).join(near, "word")
+    used = saved(here.select("query_id", F.col("term").alias("word")).join(near, "word"), "fuzzy")
     weights = used.groupBy("query_id", "term").agg(F.sum("sim").alias("weight"))
-    found = bm25(memory.postings, memory.lengths, weights)
+    found = saved(bm25(memory.postings, memory.lengths, weights), "fuzzed")
     scores.append(found)
     hit = used.select("query_id", F.col("word").alias("term")).distinct().withColumn("hit", F.lit(1.0))
     verdicts.append(share(hit).join(found.select("query_id").distinct(), "query_id").withColumn("stage", F.lit("fuzzy")))
@@ -149,8 +163,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
+    """v over its length, which is bound by an outer lambda: inside the inner one it would be computed for each component."""
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = POOL, blocks: int = 8) -> DataFrame:

@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemix-"))
-    return df.checkpoint()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node each is connected with; labels take neighbours' minima and jump to their label's label."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(most_rounds):
-        offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("offer"))
-        near = labels.join(offered, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("offer", "root")).alias("root"))
-        up = near.select(F.col("node").alias("u"), F.col("root").alias("top"))
-        new = checkpointed(near.join(up, F.col("root") == F.col("u"), "left").select("node", "old", F.least("root", F.coalesce("top", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("root <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+from mnemix.sources.tables import checkpointed, components, saved
 
 
 def _louvain(edges: list[tuple[int, int]], m: float) -> dict[int, int]:

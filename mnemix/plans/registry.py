@@ -13,9 +13,9 @@ from mnemix.operators import evaluation as A
 from mnemix.operators import experience as E
 from mnemix.operators import memory as M
 from mnemix.operators import retrieval as R
-from mnemix.operators.topology import checkpointed
 from mnemix.plans import duck
 from mnemix.sources import ingest
+from mnemix.sources.tables import checkpointed, read, saved, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,10 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-
-
 def joined(c):
     return F.array_join(c, " ")
 
@@ -45,16 +41,16 @@ def joined(c):
 @query(f"SELECT doc_id, md5(array_to_string({duck.words('text')}, ' ')) AS words, len({duck.words('text')}) AS n FROM documents")
 def t1_split_words(spark, sf):
     w = T.split_words(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", F.md5(joined("w")).alias("words"), F.size("w").cast("long").alias("n"))
+    return spread(read(spark, sf, "documents")).select("doc_id", w.alias("w")).select("doc_id", F.md5(joined("w")).alias("words"), F.size("w").cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string({duck.terms('text')}, ' ')) AS terms, len({duck.terms('text')}) AS n FROM documents")
 def t4_terms(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.terms(F.col("text")).alias("t")).select("doc_id", F.md5(joined("t")).alias("terms"), F.size("t").cast("long").alias("n"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.terms(F.col("text")).alias("t")).select("doc_id", F.md5(joined("t")).alias("terms"), F.size("t").cast("long").alias("n"))
 
 
 def term_table(spark, sf):
-    return read(spark, sf, "documents").select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
+    return spread(read(spark, sf, "documents").select("text")).select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
 
 
 TERMS_SQL = f"WITH t AS (SELECT term, count(*) AS uses FROM (SELECT unnest({duck.terms('text')}) AS term FROM documents) GROUP BY 1)"
@@ -83,7 +79,7 @@ def t7_jaccard(spark, sf):
 
 @query(f"SELECT doc_id, len({duck.sentences('text')}) AS n, md5(array_to_string({duck.sentences('text')}, '|')) AS digest FROM documents")
 def t8_sentences(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    d = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
@@ -95,7 +91,7 @@ def t10_fnv(spark, sf):
 @query("""SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters,
 round(CASE WHEN length(regexp_replace(text, '[^\\p{L}]', '', 'g')) = 0 THEN 0.0 ELSE 1 - length(regexp_replace(text, '[^A-Za-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{2C60}-\\x{2C7F}\\x{A720}-\\x{A7FF}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]', '', 'g')) / length(regexp_replace(text, '[^\\p{L}]', '', 'g')) END, 4) AS non_latin, 'latin' AS script FROM documents""")
 def t11_script(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", T.script_profile(F.col("text")).alias("p"))
+    d = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.script_profile(F.col("text")).alias("p"))
     return d.select("doc_id", F.col("p.letters").cast("long").alias("letters"), F.col("p.non_latin_fraction").alias("non_latin"), F.col("p.script").alias("script"))
 
 
@@ -128,7 +124,7 @@ def t18_option_text(spark, sf):
 
 @query(f"SELECT doc_id, md5(array_to_string({duck.loader_terms('text')}, ' ')) AS terms FROM documents")
 def t19_loader_terms(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.md5(joined(T.loader_terms(F.col("text")))).alias("terms"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5(joined(T.loader_terms(F.col("text")))).alias("terms"))
 
 
 # ingest ---------------------------------------------------------------------------------------------------------------
@@ -136,7 +132,7 @@ def t19_loader_terms(spark, sf):
 
 def passages(spark, sf):
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc_seq"), "text", "source")
-    return ingest.passages(docs)
+    return ingest.passages(spread(docs))
 
 
 @query(f"WITH {duck.PASSAGES} SELECT doc_id, passage_seq, id, md5(text) AS digest FROM passages")
@@ -201,7 +197,7 @@ def s14_mention_window(spark, sf):
 
 
 def memory(spark, sf):
-    return M.from_passages(checkpointed(ingest.newest_wins(passages(spark, sf))))
+    return M.passage_memory(ingest.newest_wins(passages(spark, sf)))
 
 
 @query(f"WITH {duck.GRAPH} SELECT a, b FROM links")
@@ -267,7 +263,7 @@ def questions(spark, sf):
 
 @query(f"WITH {duck.INDEX}, {duck.QUERIES}, s AS ({duck.bm25('postings', 'qd')}), r AS (SELECT query_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node_id) AS rank FROM s) SELECT query_id, rank, node_id, score FROM r WHERE rank <= 10")
 def r1_bm25(spark, sf):
-    m = M.materialised(memory(spark, sf), checkpointed)
+    m = memory(spark, sf)
     terms = R.query_terms(questions(spark, sf)).select("query_id", "term").distinct().withColumn("weight", F.lit(1.0))
     s = R.bm25(m.postings, m.lengths, terms).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
@@ -278,7 +274,7 @@ def r1_bm25(spark, sf):
 sims AS (SELECT word, vg.term, count(*) / (len({duck.grams('word')}) + len({duck.grams('vg.term')}) - count(*)) AS sim FROM ag JOIN vg USING (gram) GROUP BY 1, 2)
 SELECT word, term, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, term) AS rank FROM sims WHERE sim >= 0.4) WHERE rank <= 3""")
 def r5_similar_terms(spark, sf):
-    m = M.materialised(memory(spark, sf), checkpointed)
+    m = memory(spark, sf)
     words = R.query_terms(questions(spark, sf)).select(F.col("term").alias("word"))
     return R.similar_terms(M.vocabulary(m.postings), words).select("word", "term", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
@@ -293,7 +289,7 @@ SELECT h.query_id, v.stage, v.stage <> 'hub' AS matched, (v.stage = 'hub' OR v.c
 round(CASE v.stage WHEN 'exact' THEN 1.0 WHEN 'substring' THEN 0.8 WHEN 'stem' THEN 0.75 WHEN 'fuzzy' THEN 0.5 ELSE 0.05 END * (0.5 + 0.5 * v.coverage), 6) AS confidence,
 h.rank, h.node_id AS id, round(h.score / greatest(max(h.score) OVER (PARTITION BY h.query_id), 1e-9), 6) AS score FROM hits h JOIN verdict v USING (query_id)""")
 def r7_cascade(spark, sf):
-    d = R.cascade(M.materialised(memory(spark, sf), checkpointed), checkpointed(questions(spark, sf)), checkpoint=checkpointed)
+    d = R.cascade(memory(spark, sf), checkpointed(questions(spark, sf)), checkpoint=checkpointed)
     return d.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -566,18 +562,17 @@ def l7_traverse(spark, sf):
 def i6_body_stems(spark, sf):
     from mnemix.operators import density
 
-    return density.body_stems(checkpointed(ingest.newest_wins(passages(spark, sf))).withColumn("action", F.lit("Passage")))
+    return density.body_stems(memory(spark, sf).records)
 
 
 @query()
 def q5_densify(spark, sf):
     from mnemix.operators import density
 
-    r = checkpointed(ingest.newest_wins(passages(spark, sf)).withColumn("action", F.lit("Passage")))
     none = spark.createDataFrame([], "id string, stem string")
-    m = M.materialised(M.build(r), checkpointed)
+    m = memory(spark, sf)
     failing = density.failures(density.probed(m, checkpoint=checkpointed))
-    return density.densify(m, r, none, 1, min_links=12, failing=failing)
+    return density.densify(m, m.records, none, 1, min_links=12, failing=failing)
 
 
 @query(f"""WITH {NEAR_SQL}, w AS (SELECT probe, truth, label, round(sum(exp((sim - top) / 0.2)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near WHERE rank <= 8) GROUP BY 1, 2, 3),
