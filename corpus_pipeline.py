@@ -17,18 +17,24 @@ UNSURE = 0.3  # a pooled probability of the best language below this rejects a d
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language stay; those without letters or without a language above UNSURE go."""
-    found = lang_id.predict(docs, lang_id.train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = lang_id.predict(rows, lang_id.train(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays; of rows that repeat its id, one. Rows without an id stay."""
-    classes = jaccard_join.join(docs)
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__id")
-    kept = docs.join(first, F.col("doc_id") == F.col("__id"))
-    once = kept.filter("__rows = 1").select(*docs.columns)
-    again = kept.filter("__rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The document with the smallest id of each class stays; of rows that repeat its id, the least in the order of their columns.
+
+    Rows without an id stay, as do texts without words, once for each id.
+    """
+    found = jaccard_join.classes(docs)
+    first = found.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("id"), "n")
+    first = saved(first, "first")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    kept = rows.filter("key is not null").join(first, F.col("key") == F.col("id"))
+    once = kept.filter("n = 1").select("doc")
+    again = kept.filter("n > 1").groupBy("key").agg(F.min("doc").alias("doc")).select("doc")
+    return once.unionByName(again).unionByName(rows.filter("key is null").select("doc")).select("doc.*")
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +44,25 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values in texts become pseudonyms; n_chars follows."""
-    out = pii.pseudonymize(docs, pii_key(spark))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    out = pii.pseudonymize(rows, pii_key(spark))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+MIXED = ("size", "source_size", "target", "taken")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words (size) and the words taken of each, repeats counted."""
-    mix = saved(mixing.mix(docs).filter("taken > 0"), "mix")
-    mix = mix.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "size", "source_size", "target", "taken").distinct()
-    sized = docs.withColumn("__size", mixing.n_words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("__size") == F.col("size"))
-    return sized.join(mix, same).select(*docs.columns, "size", "source_size", "target", "taken")
+    """The documents that the mix takes, with their words (size) and the words taken of each, repeats counted.
+
+    Columns of documents with the names in MIXED are replaced.
+    """
+    mix = mixing.mix(docs).filter("taken > 0").select("doc_id", "source", *MIXED).distinct()
+    mix = saved(mix.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.struct(*MIXED).alias("mix")), "mix")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in MIXED]).alias("doc"), mixing.n_words(F.col("text")).alias("words"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("mix.size"))
+    return rows.join(mix, same).select("doc.*", "mix.*")
 
 
 STAGES = [

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from mnemix.sources.tables import checkpointed, components, looked_up, read, saved, shared_dir, spread
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where a session names none, as in tests, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemix-"))
-    return sc.getCheckpointDir().rstrip("/")
+__all__ = ["checkpointed", "components", "fold", "looked_up", "pii_key", "read", "sample_hash", "saved", "shared_dir", "spread"]
 
 
 def pii_key(spark: SparkSession) -> str:
@@ -29,18 +15,6 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.mnemix.pii.key", "a public key, for tests only")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; unlike a checkpoint, later reads prune columns."""
-    path = f"{shared_dir(df.sparkSession)}/mnemix-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
@@ -49,23 +23,3 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sample_hash(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the values alone."""
     return (F.xxhash64(F.lit(20011), *cols).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the undirected edges (a, b): root is the smallest node it is connected with.
-
-    Each round every node takes the smallest label among its own and its neighbours', then the label of that label.
-    Only minima are aggregated, so a node with very many neighbours is reduced before the shuffle. Rounds are
-    checkpointed; the loop ends when no label changes.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"))
-    for _ in range(max_rounds):
-        offered = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("offer"))
-        near = labels.join(offered, labels.node == offered.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("offer", "root")).alias("root"))
-        up = near.select(F.col("node").alias("up_node"), F.col("root").alias("up_root"))
-        new = checkpointed(near.join(up, near.root == up.up_node, "left").select("node", "old", F.least("root", F.coalesce("up_root", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("root <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemix.llm.common import components, saved
+from mnemix.llm.common import components, looked_up, saved
 
 N = 5
 C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -105,15 +105,20 @@ SET = "bucket long, i int, j int, rep long, side int, copies long, smaller binar
 
 def _sets(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
     """One row for each pair of blocks a text takes part in."""
-    words = _Words()
+    words, seen = _Words(), set()
     names = [f.split()[0] for f in SET.split(", ")]
     for batch in batches:
         rows, held = [], 0
-        for rep, k1, k2, copies, keys, sizes, text in zip(batch["doc_id"], batch["k1"], batch["k2"], batch["copies"], batch["keys"], batch["sizes"], batch["text"]):
-            s = shingles(text, words)
+        for rep, k2, copies, keys, sizes, text in zip(batch["k1"], batch["k2"], batch["copies"], batch["keys"], batch["sizes"], batch["text"]):
+            if rep in seen:
+                continue  # a repeated row
+            k1, s = rep, shingles(text, words)
             k = xxhash.xxh3_128_intdigest(s.tobytes())
             if np.array([k & 0xFFFFFFFFFFFFFFFF, k >> 64], np.uint64).view(np.int64).tolist() != [k1, k2]:
-                continue  # another row of the same id
+                continue  # another text of the same id
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.add(rep)
             raw, order = s.tobytes(), np.argsort(keys)
             keys = np.asarray(keys, np.int64)[order]
             for at, (key, size) in enumerate(zip(keys.tolist(), np.asarray(sizes)[order].tolist())):
@@ -156,7 +161,7 @@ def shared_counts(sets: list[np.ndarray], cells: int = 4 << 20) -> np.ndarray:
 def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """rep, root, links of the texts of one pair of blocks that have a similar one in it.
 
-    A pair that shares several prefixes is counted under the smallest of them only; root is the smallest id a text is
+    A pair that shares several prefixes is counted under the smallest of them only; root is the smallest text key a text is
     connected with inside the group.
     """
     g = group.drop_duplicates("rep")
@@ -214,34 +219,44 @@ def _grouped(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
         yield done()
 
 
-def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256) -> DataFrame:
-    """doc_id, class_id, n_links of every row of docs.
-
-    n_links is the number of other rows whose shingle sets are at least `threshold` similar (Jaccard); class_id is the
-    smallest id that links lead to, directly or over others, so a text without links is its own class. Texts of one
-    shingle set are copies: they stand in the join as one, and count one another as links. Null and empty texts, and
-    texts of white space, have no shingles and no links. A row without an id takes no part: its class is null. Rows
-    that repeat an id with another text are texts of that class id too. Other columns are ignored.
-    """
+def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+    """doc_id, n (shingles), k1, k2 (the text's shingle set), class_id, n_links of every row of docs; see join()."""
     d = depth(trees, longest, threshold, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = rows.filter(F.col("doc_id").isNotNull())
     sig = saved(some.mapInPandas(lambda it: _signatures(it, trees, d), SIG), "signatures")
     reps = sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("prefixes").alias("prefixes"))
     reps = saved(reps, "texts")
-    under = reps.select("rep", F.explode("prefixes").alias("bucket"))
-    sizes = under.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")).filter("size > 1")
+    # a text goes by k1: an id may stand for several texts, so it cannot name one
+    under = reps.select(F.col("k1").alias("tid"), F.explode("prefixes").alias("bucket"))
+    sizes = under.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("tid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("x2")).filter("size > 1")
     one_of_equal = sizes.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    takes = under.join(one_of_equal, "bucket").groupBy("rep").agg(F.collect_list(F.struct("bucket", "size")).alias("b"))
-    takes = takes.select("rep", F.col("b.bucket").alias("keys"), F.col("b.size").alias("sizes")).join(reps.select("rep", "k1", "k2", "copies"), "rep")
-    texts = takes.join(some, F.col("rep") == F.col("doc_id")).select("doc_id", "k1", "k2", "copies", "keys", "sizes", "text")
+    takes = under.join(one_of_equal, "bucket").groupBy("tid").agg(F.collect_list(F.struct("bucket", "size")).alias("b"))
+    takes = takes.select("tid", F.col("b.bucket").alias("keys"), F.col("b.size").alias("sizes")).join(reps.select(F.col("k1").alias("tid"), "k1", "k2", "rep", "copies"), "tid")
+    texts = takes.join(some, F.col("rep") == F.col("doc_id")).select("k1", "k2", "copies", "keys", "sizes", "text")
     sets = texts.mapInPandas(lambda it: _sets(it, block), SET).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = saved(sets.mapInPandas(lambda it: _grouped(it, threshold), "rep long, root long, links long"), "links")
-    classes = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = reps.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep").withColumnRenamed("root", "class"), "rep", "left")
-    about = about.select("k1", "k2", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    worded = sig.filter("n > 0").select("doc_id", "k1", "k2").join(about, ["k1", "k2"]).select("doc_id", F.col("class").alias("class_id"), F.col("links").alias("n_links"))
-    bare = sig.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    none = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return worded.unionByName(bare).unionByName(none)
+    roots = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    linked = saved(reps.select(F.col("k1").alias("node"), "rep").join(roots, "node"), "linked")
+    first = linked.groupBy("root").agg(F.min("rep").alias("class"))
+    named = looked_up(linked, first, ["root"], "inner").select(F.col("node").alias("k1"), "class")
+    links = found.groupBy(F.col("rep").alias("k1")).agg(F.sum("links").alias("links"))
+    about = reps.select("k1", "k2", "rep", "copies").join(links, "k1", "left").join(named, "k1", "left")
+    about = saved(about.select("k1", "k2", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "about")
+    worded = looked_up(sig.filter("n > 0").select("doc_id", "n", "k1", "k2"), about, ["k1", "k2"], "inner").select("doc_id", "n", "k1", "k2", "class_id", "n_links")
+    bare = sig.filter("n = 0").select("doc_id", "n", "k1", "k2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return worded.unionByName(bare)
+
+
+def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+    """doc_id, class_id, n_links of every row of docs.
+
+    n_links is the number of other rows whose shingle sets are at least `threshold` similar (Jaccard); class_id is the
+    smallest id that links lead to, directly or over others, so a text without links is its own class. Texts of one
+    shingle set are copies: they stand in the join as one, and count one another as links. Null and empty texts, and
+    texts of white space, have no shingles and no links. A row without an id takes no part: its class is null. Rows
+    that repeat an id with another text are texts of their own, each with its own links. Other columns are ignored.
+    """
+    found = classes(docs, threshold, trees, longest, recall, block).select("doc_id", "class_id", "n_links")
+    none = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.unionByName(none)

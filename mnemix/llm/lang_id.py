@@ -223,5 +223,5 @@ def predict(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
             names = np.array([*net.labels, "und"], dtype=object)[np.where(has, best, len(net.labels))]
             yield pd.DataFrame({"lang_pred": names, "score": np.where(has, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)})
 
-    got = docs.withColumn("__label", label(F.when(labelled, F.col("text"))))
-    return got.withColumn("lang_pred", F.col("__label.lang_pred")).withColumn("score", F.col("__label.score")).drop("__label")
+    got = docs.select(F.struct(*docs.columns).alias("doc"), label(F.when(labelled, F.col("text"))).alias("label"))
+    return got.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "label.lang_pred", "label.score")

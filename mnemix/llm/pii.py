@@ -199,8 +199,10 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     t = F.col(column)
     some = F.coalesce(t.rlike(QUICK), F.lit(False))
     found = F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    d = docs.withColumn("__found", found)
-    new = F.transform("__found", lambda m: pseudonym(m, key))
-    parts = F.zip_with(F.split(t, ANY, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    hit = F.coalesce(F.size("__found") > 0, F.lit(False))
-    return d.withColumn(column, F.when(hit, F.array_join(parts, "")).otherwise(t)).withColumn("n_values", F.when(hit, F.size("__found")).otherwise(0).cast("long")).drop("__found")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), t.alias("t"), found.alias("found"))
+    new = F.transform("found", lambda m: pseudonym(m, key))
+    parts = F.zip_with(F.split("t", ANY, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    hit = F.coalesce(F.size("found") > 0, F.lit(False))
+    text = F.when(hit, F.array_join(parts, "")).otherwise(F.col("t"))
+    n = F.when(hit, F.size("found")).otherwise(0).cast("long")
+    return d.select(*[text.alias(c) if c == column else F.col(f"doc.`{c}`") for c in docs.columns if c != "n_values"], n.alias("n_values"))

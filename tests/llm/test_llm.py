@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from mnemix.llm import ann, decontaminate, html_text, jaccard_join, lang_id, lattice_lm, mixing, pii, quality, token_count
 
+from mnemix.llm.common import looked_up
+
 P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -172,6 +174,22 @@ def test_jaccard_join_brute_force(spark):
     assert {g.doc_id: g.class_id for g in got} == dict(enumerate(root))
 
 
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    r = random.Random(9)
+    a, b = (" ".join(r.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(2))
+    d = spark.createDataFrame([(5, a, "en", "s", 0), (5, b, "en", "s", 0), (6, a + " x", "en", "s", 0), (7, b + " y", "en", "s", 0), (5, a, "en", "s", 0)], DOC)
+    got = sorted((g.doc_id, g.class_id, g.n_links) for g in jaccard_join.join(d).collect())
+    assert got == [(5, 5, 1), (5, 5, 2), (5, 5, 2), (6, 5, 2), (7, 5, 1)]
+
+
+def test_looked_up_hot_key(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for how, n in (("inner", 4000), ("left", 5000)):
+        got = looked_up(left, right, ["k"], how)
+        assert got.count() == n and got.filter("k = 0 and w = 0").count() == 3000 and got.filter("w <> 2 * k").count() == 0
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.join(odd(spark)).collect()
     assert len(got) == 8 and [g.n_links for g in got if g.doc_id == 3] == [1, 1] and [g.class_id for g in got if g.doc_id is None] == [None]
@@ -471,4 +489,15 @@ def test_pipeline(spark, tmp_path):
         if name == "pseudonyms":
             assert "zuk.1@" not in d.filter("doc_id = 3").first().text
     assert d.filter("taken > 0").count() == d.count() > 0
+    # odd rows with clashing names: every stage keeps the columns as they are
+    clash = odd(spark).unionByName(spark.createDataFrame(rows, DOC), allowMissingColumns=True).withColumn("score", F.lit("mine"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, clash, str(tmp_path))
+        if k < 4:
+            assert out.columns == clash.columns
+        assert out.count() > 0 and out.filter("score <> 'mine'").count() == 0
+    again = corpus_pipeline.drop_near_duplicates(spark, clash.repartition(3), "")
+    assert again.exceptAll(corpus_pipeline.drop_near_duplicates(spark, clash, "")).count() == 0
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, empty(spark), str(tmp_path)).count() == 0
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
