@@ -211,7 +211,37 @@ def test_quality_held_out(spark):
     held = out[[zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]]
     assert held[held.doc_id < 200].score.min() > held[held.doc_id >= 200].score.max()
     assert quality.score(odd(spark), net).filter("score between 0 and 1").count() == 8
-    assert quality.score(odd(spark), quality.train(empty(spark), lab.limit(0))).count() == 8
+    assert quality.train(empty(spark), lab.limit(0)) is None
+    assert {r.score for r in quality.score(odd(spark), None).collect()} == {0.5}
+    # the answer does not depend on how rows are dealt or on columns named like the operator's own
+    again = quality.score(d, quality.train(d.withColumn("t_id", F.lit(1)).repartition(5), lab)).toPandas()
+    assert np.allclose(out.sort_values("doc_id").score, again.sort_values("doc_id").score)
+
+
+def test_quality_risk_gradient_and_prior():
+    """The step of the risk against differences of the risk itself, and the prior of known mixtures."""
+    r = np.random.default_rng(0)
+    xp, xu = r.normal(0.5, 1, (40, quality.N_FEATURES)), r.normal(0, 1, (60, quality.N_FEATURES))
+    net, prior = quality.Net(hidden=3), 0.4
+
+    def risk():
+        gp, gu = net.logit(xp), net.logit(xu)
+        return prior * np.logaddexp(0, -gp).mean() + np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+    sp, su = (1 / (1 + np.exp(-net.logit(x))) for x in (xp, xu))
+    grad = [a + b for a, b in zip(net._grad(xp, (prior * (sp - 1) - prior * sp) / len(xp)), net._grad(xu, su / len(xu)))]
+    for k, at in ((0, (2, 1)), (1, (0,)), (2, (1,)), (3, (0,))):
+        old = net.w[k][at]
+        net.w[k][at] = old + 1e-5
+        up = risk()
+        net.w[k][at] = old - 1e-5
+        down = risk()
+        net.w[k][at] = old
+        assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-6
+    for share in (0.2, 0.5, 0.8):
+        pos, neg = r.normal(3, 1, 3000), r.normal(-1, 1, 3000)
+        mixed = np.concatenate([r.normal(3, 1, int(6000 * share)), r.choice(neg, 6000 - int(6000 * share))])
+        assert abs(quality.class_prior(pos, mixed) - share) < 0.05
 
 
 # 6 --------------------------------------------------------------------------------------------------------------------
