@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from hypothesis import given, settings
@@ -65,6 +66,51 @@ def test_ann_factor_one_is_exact_and_ties_go_to_small_ids(spark):
     assert ann.nearest(d.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["unit", "free", "clusters"])
+def test_ann_production_recall(spark, norms):
+    """Against brute force at the production factor, on vectors of one norm, of many norms and in clusters; several cells and trees."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(6000, 32))
+    if norms == "clusters":
+        x = np.repeat(r.normal(size=(12, 32)), 500, axis=0) + 0.25 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "free":
+        x *= np.exp(r.normal(0, 0.4, (6000, 1)))
+    x[100:1500:7] = x[3]  # copies
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.nearest(d, F.col("vec_id") % 20 == 0, k=20, shard_rows=700, query_block=100).toPandas()
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    assert len(got) == 300 * 20
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        worst = np.sort(s[q // 20])[-20]
+        hit += (g.score >= worst - 1e-12).sum()
+        assert list(g.sort_values("rank")["score"]) == sorted(g.score, reverse=True)
+    assert hit / len(got) >= 0.95
+
+
+def test_ann_factor_one_over_cells_is_exact(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(1500, 6)) * r.choice([0.2, 1, 5], (1500, 1))
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1500), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.nearest(d, F.col("vec_id") % 20 == 0, k=9, factor=1.0, shard_rows=150, query_block=20, sample_rows=200).toPandas()
+    for q, g in got.groupby("query_id"):
+        want = sorted((-float((x[q] * x[i]).sum()), i) for i in range(1500) if i != q)[:9]
+        assert list(g.sort_values("rank")["vec_id"]) == [i for _, i in want]
+
+
+def test_tree_prunes():
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(10, 16)), 400, axis=0) + 0.1 * r.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = 1.0
+    tree, q = ann.VantageTree(ann.lifted(x, top)), ann.asked(x[::50])
+    for factor in (1.0, ann.measured_factor(x, top, 20, 0.98)):
+        tree.search(q, 20, factor)
+        assert tree.distances < 0.6 * len(q) * len(x)
+
+
 # 2 --------------------------------------------------------------------------------------------------------------------
 
 
