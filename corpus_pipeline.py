@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemix.llm import decontaminate, jaccard_join, lang_id, mixing, pii
@@ -56,12 +56,15 @@ MIXED = ("size", "source_size", "target", "taken")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their words (size) and the words taken of each, repeats counted.
 
-    Columns of documents with the names in MIXED are replaced.
+    Rows of one id, source and size take their shares in the order of their texts' hashes. Columns of documents with the
+    names in MIXED are replaced.
     """
-    mix = mixing.mix(docs).filter("taken > 0").select("doc_id", "source", *MIXED).distinct()
-    mix = saved(mix.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.struct(*MIXED).alias("mix")), "mix")
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in MIXED]).alias("doc"), mixing.n_words(F.col("text")).alias("words"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("mix.size"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by[:3]).orderBy(*by[3:]))
+    mix = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "size", F.struct(*MIXED).alias("mix"))
+    mix = saved(mix.withColumn("m_nth", nth("m_id", "m_source", "size", F.desc("mix.taken"))).filter("mix.taken > 0"), "mix")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in MIXED]).alias("doc"), "doc_id", "source", mixing.n_words(F.col("text")).alias("words"), F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("nth", nth("doc_id", "source", "words", "h"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("m_nth"))
     return rows.join(mix, same).select("doc.*", "mix.*")
 
 

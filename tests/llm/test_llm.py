@@ -183,6 +183,19 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(odd(spark)).count() == 8 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_of_hot_rows(spark):
+    """A third of all rows are one document: of its copies as many are taken as its source's target asks for."""
+    rows = [(1, "w " * 20, "en", "a", 0)] * 2400 + [(i, "w " * (i % 30 + 1), "en", "abc"[i % 3], 0) for i in range(10, 2000)] + [(None, "w w w", "en", None, 0)] * 700
+    got = mixing.mix(spark.createDataFrame(rows, DOC), block_rows=100).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all() and (got["taken"] % got["size"] == 0).all()
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 3
+    many = [(f"s{i:04d}", (i * 37) % 101 + 1) for i in range(500)] + [(None, 9)]
+    t = {r.source: r.target for r in mixing.targets(spark.createDataFrame(many, "source string, source_size long").repartition(7)).collect()}
+    want = waterfill([n for _, n in many], [(5, 2, 1)[i % 3] for i in range(501)], 3)
+    assert all(math.isclose(t[s], w, rel_tol=1e-9) for (s, _), w in zip(many, want))
+
+
 def test_cube_flight_keeps_sums():
     r = np.random.default_rng(0)
     pi, size = r.random(200), r.integers(1, 50, 200).astype(float)
