@@ -601,3 +601,7 @@ def x12_agreement_override(spark, sf):
 def x20_grounded(spark, sf):
     g = read(spark, sf, "conversations").groupBy("conv_id").agg(F.min("text").alias("t"), F.count("*").cast("string").alias("n"))
     return g.select("conv_id", D.grounded(F.col("n"), F.col("t")).alias("state"))
+
+
+# the rest of the catalogue registers itself
+from mnemix.plans import decisions as decisions  # noqa: E402
