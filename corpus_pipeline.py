@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = found.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("id"), "n")
     first = saved(first, "first")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("key"))
-    kept = rows.filter("key is not null").join(first, F.col("key") == F.col("id"))
+    kept = rows.filter("key is not null").join(first.hint("merge"), F.col("key") == F.col("id"))  # it grows with the documents: never broadcast
     once = kept.filter("n = 1").select("doc")
     again = kept.filter("n > 1").groupBy("key").agg(F.min("doc").alias("doc")).select("doc")
     return once.unionByName(again).unionByName(rows.filter("key is null").select("doc")).select("doc.*")
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in MIXED]).alias("doc"), "doc_id", "source", mixing.n_words(F.col("text")).alias("words"), F.xxhash64("text").alias("h"))
     rows = rows.withColumn("nth", nth("doc_id", "source", "words", "h"))
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("m_nth"))
-    return rows.join(mix, same).select("doc.*", "mix.*")
+    return rows.join(mix.hint("merge"), same).select("doc.*", "mix.*")  # it grows with the documents: never broadcast
 
 
 STAGES = [
