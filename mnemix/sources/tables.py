@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,22 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(F.broadcast(some), keys).unionByName(left.join(F.broadcast(some.select(*keys)), keys, "left_anti").join(right, keys, how))
 
 
+def running(df: DataFrame, order: list, value, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows up to and with each, in the given order of all rows.
+
+    Ranges of the order are summed apart; what lies before a range is one number a partition.
+    """
+    up = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = saved(df.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before, at = [], 0
+    for r in ranged.groupBy("__part").agg(F.sum("__value").alias("n")).orderBy("__part").collect():  # one row a partition
+        before.append((r["__part"], at))
+        at += r.n
+    kind = dict(ranged.agg(F.sum("__value").alias("n")).dtypes)["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, f"__part int, __before {kind}"))
+    return ranged.join(offsets, "__part").withColumn(name, F.sum("__value").over(up) + F.col("__before")).drop("__part", "__value", "__before")
+
+
 def components(edges: DataFrame, most_rounds: int = 200, salts: int = 16) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b): root is the smallest node it is connected with.
 
