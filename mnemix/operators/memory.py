@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemix.functions import text as T
-from mnemix.sources.tables import saved
+from mnemix.sources.tables import running, saved
 
 LABEL_WEIGHT, TEXT_WEIGHT = 3.0, 1.0
 LEVEL_RANK = {"function": 0, "data": 1, "concept": 2, "event": 3, "access": 4}
@@ -44,6 +44,28 @@ def typed_links(records: DataFrame, context: DataFrame | None = None, concepts:
     return pairs.groupBy("a", "b").agg(F.min("owner").alias("owner"))
 
 
+def edge_list(records: DataFrame, context: DataFrame | None = None, concepts: DataFrame | None = None) -> DataFrame:
+    """(a, b, seq): the edges in the order they are made, repeated ones kept: each record's data, access and events, then context links, then concepts."""
+    order = ["doc_seq", "passage_seq"]
+    parts = []
+    for level, column in enumerate(("data", "access", "events")):
+        if column in records.columns:
+            kind = {"data": "data", "access": "access", "events": "event"}[column]
+            e = records.select(F.lit(0).alias("part"), *order, F.concat(F.lit("F_"), "id").alias("a"), F.lit(level).alias("level"), F.posexplode(column).alias("at", "y"))
+            parts.append(e.select("part", *order, "a", "level", "at", F.concat(F.lit(PREFIX[kind]), "y").alias("b")))
+    place = lambda part, a, b: [F.lit(part).alias("part"), F.lit(0).cast("long").alias("doc_seq"), F.lit(0).alias("passage_seq"), a.alias("a"), F.lit(0).alias("level"), F.lit(0).alias("at"), b.alias("b")]
+    if context is not None:
+        ids = records.select("id").distinct()
+        c = context.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").join(ids.withColumnRenamed("id", "owner"), "owner", "left_semi").filter("owner <> target")
+        parts.append(c.select(*place(1, F.concat(F.lit("F_"), "owner"), F.concat(F.lit("F_"), "target"))))
+    if concepts is not None:
+        parts.append(concepts.select(*place(2, F.concat(F.lit("F_"), "id"), F.concat(F.lit("K_"), "stem"))))
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    return running(all_, ["part", *order, "a", "level", "at", "b"], F.lit(1).cast("long"), "seq").select("a", "b", "seq")
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 

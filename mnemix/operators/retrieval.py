@@ -35,13 +35,14 @@ def bm25(postings: DataFrame, lengths: DataFrame, weighted: DataFrame, k1: float
     return d.groupBy("query_id", "node_id").agg(F.sum(part).alias("score"))
 
 
-def similar_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4, k: int = 3) -> DataFrame:
-    """(word, term, sim, rank): the k vocabulary terms of largest gram Jaccard, by an equi-join on grams."""
+def similar_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4, k: int | None = 3) -> DataFrame:
+    """(word, term, sim, rank): the k vocabulary terms of largest gram Jaccard (all, without k), by an equi-join on grams."""
     asked = words.select("word").distinct().withColumn("grams", T.trigrams(F.col("word")))
     pairs = asked.select("word", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(vocabulary_grams(vocab), "gram")
     sims = pairs.groupBy("word", "term").agg((F.count("*") / (F.first("n") + F.first("ngrams") - F.count("*"))).alias("sim")).filter(F.col("sim") >= least)
     w = Window.partitionBy("word").orderBy(F.desc("sim"), "term")
-    return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked_ = sims.withColumn("rank", F.row_number().over(w))
+    return ranked_ if k is None else ranked_.filter(F.col("rank") <= k)
 
 
 def substring_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -168,15 +169,11 @@ def unit(v: Column) -> Column:
     return F.get(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = POOL, blocks: int = 8) -> DataFrame:
-    """(query_id, rank, node_id, sim): exact search, query blocks against vector blocks; each pair of blocks keeps its own
-    top k in numpy, and only those meet in the final ranking."""
+def _top_of_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, kinds: tuple[str, str]) -> DataFrame:
+    """Vectors and queries of one block meet in numpy, each block keeps its own top k, and only those meet in the final ranking."""
     import numpy as np
     import pandas as pd
 
-    v = vectors.select("node_id", unit(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).alias("block"))
-    q = queries.select("query_id", unit(F.col("vec")).alias("vec"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-
     def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
             return pd.DataFrame({"query_id": qs["query_id"][:0], "node_id": vs["node_id"][:0], "sim": np.zeros(0)})
@@ -185,16 +182,41 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = POOL, blocks: int
         for at in range(0, len(qs), 512):
             part = qs.iloc[at : at + 512]
             s = np.round(np.array(part["vec"].tolist()) @ m.T, PLACES)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "node_id": ids[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()}))
+            if k < s.shape[1]:
+                # all that reach the k-th value, then in order: ties at the edge fall to the smaller id
+                edge = -np.partition(-s, k - 1, axis=1)[:, [k - 1]]
+                row, col = np.nonzero(s >= edge)
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[keep], col[keep]
+            else:
+                row, col = np.divmod(np.arange(s.size), s.shape[1])
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "node_id": ids[col], "sim": s[row, col]}))
         return pd.concat(out)
 
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["node_id"]
-    hits = v.groupBy("block").cogroup(q.groupBy("block")).applyInPandas(search, f"query_id {kinds[0]}, node_id {kinds[1]}, sim double")
+    hits = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, f"query_id {kinds[0]}, node_id {kinds[1]}, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "node_id", "sim")
 
 
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = POOL, block_vectors: int = 16_384, block_queries: int = 4096) -> DataFrame:
+    """(query_id, rank, node_id, sim): exact search, blocks of vectors against blocks of queries.
+
+    The numbers of blocks follow the tables' sizes, so a task holds about block_vectors and block_queries whatever they
+    are, and there are at least as many tasks as cores.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    v = saved(vectors.select("node_id", unit(F.col("vec")).alias("vec")), "units")
+    q = saved(queries.select("query_id", unit(F.col("vec")).alias("vec")), "asked")
+    nq = max(1, -(-q.count() // block_queries))
+    nv = max(-(-v.count() // block_vectors), -(-cores // nq))
+    cut = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("node_id", "vec", F.pmod(F.xxhash64("node_id"), F.lit(nv)).cast("int").alias("vb"), cut(nq).alias("qb"))
+    q = q.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), cut(nv).alias("vb"))
+    return _top_of_blocks(v, q, ["vb", "qb"], k, (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["node_id"]))
+
+
 def rrf(rankings: list[DataFrame], k: int, pool: int = POOL, offset: int = RRF) -> DataFrame:
     """(query_id, rank, node_id, score): reciprocal rank fusion of the first `pool` of each ranking (query_id, rank, node_id)."""
     all_ = rankings[0].select("query_id", "rank", "node_id")
@@ -267,12 +289,86 @@ def block_context(hits: DataFrame, blocks: DataFrame, nodes: DataFrame, most: in
 
 
 def corrected_terms(vocab: DataFrame, words: DataFrame, least: float = 0.4) -> DataFrame:
-    """(word, term, sim): the most similar other vocabulary term, the more used one on ties."""
-    near = similar_terms(vocab, words, least, k=50).join(vocab.select("term", "df"), "term")
+    """(word, term, sim): the most similar vocabulary term, the more used one on ties, where it is another word."""
+    near = similar_terms(vocab, words, least, k=None).join(vocab.select("term", "df"), "term")
     w = Window.partitionBy("word").orderBy(F.desc("sim"), F.desc("df"), "term")
     return near.withColumn("rn", F.row_number().over(w)).filter("rn = 1 and term <> word").select("word", "term", "sim")
 
 
+def hybrid_search(memory: Memory, queries: DataFrame, vectors: DataFrame, asked: DataFrame, k: int = 5, pool: int = POOL) -> DataFrame:
+    """(query_id, rank, id, score, lexical, dense_sim): any of a query's terms and their corrections, and nearness, fused by rank.
+
+    vectors (node_id, vec) and asked (query_id, vec); lexical says whether terms found the record, dense_sim its cosine
+    where it is among the nearest.
+    """
+    qt = query_terms(queries).select("query_id", "term").distinct()
+    fixed = corrected_terms(vocabulary(memory.postings), qt.select(F.col("term").alias("word")))
+    terms = qt.unionByName(qt.join(fixed.select(F.col("word"), F.col("term").alias("new")), F.col("term") == F.col("word")).select("query_id", F.col("new").alias("term"))).distinct()
+    own = memory.postings.filter(F.col("node_id").startswith("F_"))
+    found = bm25(own, memory.lengths.filter(F.col("node_id").startswith("F_")), terms.withColumn("weight", F.lit(1.0))).withColumn("score", F.round("score", PLACES))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    lex = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
+    dense = saved(dense_top(vectors, asked, pool), "dense")
+    both = lex.select("query_id", "node_id", "rank", F.lit(True).alias("lexical"), F.lit(None).cast("double").alias("sim")).unionByName(dense.select("query_id", "node_id", "rank", F.lit(False).alias("lexical"), "sim"))
+    g = both.groupBy("query_id", "node_id").agg(F.round(F.sum(1.0 / (F.col("rank") + RRF)), PLACES).alias("score"), F.max("lexical").alias("lexical"), F.max("sim").alias("dense_sim"))
+    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("node_id").alias("id"), "score", "lexical", "dense_sim")
+
+
+def plain_bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, node_id, score): the baseline over lower-case runs of ASCII letters and digits, no stop words, no stems.
+
+    docs: node_id, text; queries: query_id, q.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    postings = saved(docs.select("node_id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "node_id").agg(F.count("*").cast("double").alias("tf")), "plain")
+    lengths = docs.select("node_id").join(postings.groupBy("node_id").agg(F.sum("tf").alias("len")), "node_id", "left").fillna(0.0, ["len"])
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("q")))).alias("term")).withColumn("weight", F.lit(1.0))
+    s = bm25(postings, lengths, asked, k1, b).withColumn("score", F.round("score", PLACES))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "node_id", "score")
+
+
+def cell_index(vectors: DataFrame, lists: int, sample_rows: int = 20_000, rounds: int = 8, seed: int = 3):
+    """(centers, table (node_id, vec, cell)): an inverted file. Centers come from a hashed sample of at most sample_rows
+    unit vectors by k-means; every vector is put in the cell of its nearest center."""
+    import numpy as np
+    import pandas as pd
+
+    v = saved(vectors.select("node_id", unit(F.col("vec")).alias("vec")), "units")
+    some = np.array([r.vec for r in v.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(sample_rows).collect()])
+    c = some[np.linspace(0, len(some) - 1, min(lists, len(some))).astype(int)] if len(some) else np.zeros((0, 1))
+    for _ in range(rounds):
+        own = (some @ c.T).argmax(axis=1) if len(c) else np.zeros(0, int)
+        c = np.array([some[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) if len(c) else 1.0
+
+    def place(batches):
+        for b in batches:
+            m = np.array(b["vec"].tolist()) if len(b) else np.zeros((0, c.shape[1]))
+            yield pd.DataFrame({"node_id": b["node_id"], "vec": b["vec"], "cell": (m @ c.T).argmax(axis=1) if len(b) else []})
+
+    return c, saved(v.mapInPandas(place, f"node_id {dict(vectors.dtypes)['node_id']}, vec array<double>, cell long"), "cells")
+
+
+def cell_search(index, queries: DataFrame, k: int = POOL, probes: int = 10) -> DataFrame:
+    """(query_id, rank, node_id, sim): exact search in each query's `probes` nearest cells."""
+    import numpy as np
+    import pandas as pd
+
+    centers, table = index
+    q = queries.select("query_id", unit(F.col("vec")).alias("vec"))
+
+    def route(batches):
+        for b in batches:
+            if len(b):
+                near = np.argsort(-(np.array(b["vec"].tolist()) @ centers.T), axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), near.shape[1]), "vec": np.repeat(b["vec"].to_numpy(), near.shape[1]), "block": near.ravel()})
+
+    kinds = dict(queries.dtypes)["query_id"], dict(table.dtypes)["node_id"]
+    asked = q.mapInPandas(route, f"query_id {kinds[0]}, vec array<double>, block long")
+    return _top_of_blocks(table.withColumnRenamed("cell", "block"), asked, ["block"], k, kinds)
+
+
 def pages_of(hits: DataFrame, page_of: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, page): the distinct pages of hits in hit order."""
     g = hits.join(page_of, "id").groupBy("query_id", "page").agg(F.min("rank").alias("first"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemix.sources.tables import checkpointed, components, saved
+from mnemix.sources.tables import checkpointed, components, running, saved
 
 
 def _louvain(edges: list[tuple[int, int]], m: float) -> dict[int, int]:
@@ -56,8 +56,9 @@ def communities(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"idx": list(own), "c": list(own.values())})
 
     found = e.join(roots, F.col("ia") == F.col("node")).select("root", "seq", "ia", "ib").groupBy("root").applyInPandas(solve, "idx long, c long")
+    found = saved(found, "louvain")
     first = found.groupBy("c").agg(F.min("idx").alias("first"))
-    dense = first.withColumn("community", F.row_number().over(Window.orderBy("first")) - 1)
+    dense = running(first, ["first"], F.lit(1).cast("long"), "place").select("c", (F.col("place") - 1).alias("community"))
     return found.join(dense, "c").join(number, "idx").select("node", "community")
 
 
@@ -103,3 +104,24 @@ def search_blocks(named: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, block): blocks whose name, or the id of a member, contains the query, case aside."""
     names = named.select("block", F.lower("block").alias("low")).unionByName(named.select("block", F.lower("node_id").alias("low"))).distinct()
     return names.join(queries.select("query_id", F.lower("q").alias("lq")), F.contains("low", F.col("lq"))).select("query_id", "block").distinct()
+
+
+def blocks_json(nodes: DataFrame, named: DataFrame, records: DataFrame) -> DataFrame:
+    """(block, json): each block as a JSON object of its name and nodes; records carry their action and what they are linked to."""
+    pre = lambda c, p: F.transform(c, lambda x: F.concat(F.lit(p), x))
+    own = records.select(F.concat(F.lit("F_"), "id").alias("node_id"), "action", pre("data", "D_").alias("data"), pre("access", "A_").alias("access"), pre("events", "E_").alias("events"))
+    d = named.join(nodes.select("node_id", "level"), "node_id").join(own, "node_id", "left")
+    node = F.struct(F.col("node_id").alias("id"), F.coalesce("action", F.substr("node_id", F.lit(3))).alias("action"), F.initcap("level").alias("topology_level"), F.col("data").alias("data_connections"), "access", "events")
+    g = d.groupBy("block").agg(F.array_sort(F.collect_list(node)).alias("nodes"))  # a block is shown whole
+    return g.select("block", F.to_json(F.struct(F.col("block").alias("name"), F.lit(0).alias("depth"), F.lit("Component").alias("topology_level"), "nodes", F.array().cast("array<string>").alias("sub_blocks"))).alias("json"))
+
+
+# The prefixes of node ids, in the order in which a bare id is looked for.
+PREFIXES = ("", "F_", "D_", "K_", "A_", "E_")
+
+
+def resolved(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, node_id) of asked (q): the node of that id, else of the first prefix under which there is one."""
+    tries = F.transform(F.array(*[F.lit(p) for p in PREFIXES]), lambda p: F.concat(p, F.col("q")))
+    d = asked.select("q").distinct().select("q", F.posexplode(tries).alias("at", "node_id")).join(nodes.select("node_id"), "node_id")
+    return d.groupBy("q").agg(F.min_by("node_id", "at").alias("node_id"))

@@ -105,7 +105,9 @@ def bm25(postings: str, terms_: str, weight: str = "1.0") -> str:
   FROM {terms_} t JOIN {postings} p ON p.term = t.term JOIN (SELECT term, count(*) AS df FROM {postings} GROUP BY 1) d ON d.term = t.term JOIN lens l ON l.node_id = p.node_id CROSS JOIN stats GROUP BY 1, 2"""
 
 
-CASCADE = f"""{INDEX}, {QUERIES},
+def cascade(asked: str, index: str = INDEX) -> str:
+    """The staged search as CTEs, for the queries (query_id, q) that `asked` defines with their terms qt and qd."""
+    return f"""{index}, {asked},
 e0 AS ({bm25('postings', 'qd')}),
 top AS (SELECT query_id, max(score) AS top FROM e0 GROUP BY 1),
 okq AS (SELECT query_id, lower(q) AS lq FROM queries WHERE len({terms('q')}) > 0 AND length(trim(q)) >= 3),
@@ -141,3 +143,11 @@ reached AS (SELECT query_id, node_id, sum(score) AS score FROM (
 spread AS (SELECT query_id, node_id, round(score, 9) AS score FROM reached UNION ALL SELECT query_id, node_id, round(score, 9) FROM scores WHERE query_id NOT IN (SELECT query_id FROM reached)),
 hits AS (SELECT * FROM (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, level_rank, degree DESC, node_id) AS rank FROM spread JOIN nodes USING (node_id)) WHERE rank <= 5
   UNION ALL SELECT query_id, node_id, 0.0, rank FROM left4 CROSS JOIN (SELECT node_id, row_number() OVER (ORDER BY degree DESC, node_id) AS rank FROM nodes WHERE level_rank = 0 QUALIFY rank <= 5))"""
+
+
+CASCADE = cascade(QUERIES)
+
+
+def passages_of(docs: str) -> str:
+    """PASSAGES over other rows (doc_id, text, source) than the documents'."""
+    return f"documents AS ({docs}), {PASSAGES}"

@@ -606,3 +606,4 @@ def x20_grounded(spark, sf):
 # the rest of the catalogue registers itself
 from mnemix.plans import decisions as decisions  # noqa: E402
 from mnemix.plans import evaluations as evaluations  # noqa: E402
+from mnemix.plans import stores as stores  # noqa: E402

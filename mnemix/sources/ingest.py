@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemix.functions import text as T
+from mnemix.sources.tables import checkpointed
 
 MOST_SENTENCES, MOST_BYTES = 3, 480
 
@@ -52,9 +53,13 @@ def source_name(source: Column) -> Column:
     return F.when(name == "", F.lit("doc")).otherwise(name)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_seq, passage_seq, id, text, data, source) from docs (doc_seq, text, source): prose, one row a passage."""
-    paragraphs = fold_headings(F.split(F.coalesce("text", F.lit("")), "\n\n"))
+def passages(docs: DataFrame, fold: bool = True) -> DataFrame:
+    """(doc_seq, passage_seq, id, text, data, source) from docs (doc_seq, text, source): prose, one row a passage.
+
+    With fold, paragraphs of headings only go before the prose that follows them.
+    """
+    paragraphs = F.split(F.coalesce("text", F.lit("")), "\n\n")
+    paragraphs = fold_headings(paragraphs) if fold else paragraphs
     chunks = F.flatten(F.transform(paragraphs, lambda p: chunk_sentences(T.sentences(p))))
     rows = docs.select("doc_seq", "source", F.posexplode(chunks).alias("passage_seq", "text"))
     data = F.array_sort(F.array_distinct(F.transform(T.terms(F.col("text")), T.capitalize)))
@@ -108,7 +113,8 @@ def parse_atf(docs: DataFrame) -> DataFrame:
     )
 
 
-TAG = r"\(([A-Z][A-Za-z]*) ([A-Za-z0-9_]+)\)"
+# The kinds of entity tags.
+TAG = r"\((Component|Block|Function|Data|Access|Event)\s+([A-Za-z0-9_]+)\)"
 
 
 def entity_tags(docs: DataFrame) -> DataFrame:
@@ -124,22 +130,74 @@ def entity_tags(docs: DataFrame) -> DataFrame:
     return d.withColumn("component", held("component")).withColumn("block", held("block"))
 
 
-def entity_texts(docs: DataFrame) -> DataFrame:
-    """docs with tags in the text replaced by their names, underscores by spaces."""
-    return docs.withColumn("text", F.replace(F.regexp_replace("text", TAG, "$2"), F.lit("_"), F.lit(" ")))
+def untagged(text: Column) -> Column:
+    """Text with each tag replaced by its name, underscores by spaces."""
+    return F.trim(F.replace(F.regexp_replace(text, TAG, "$2"), F.lit("_"), F.lit(" ")))
+
+
+def tag_records(docs: DataFrame) -> DataFrame:
+    """Records of documents marked with entity tags: id, doc_seq, section, action, text, data, access, events.
+
+    A paragraph belongs to its functions, else to the last block, else to the last component; without any it is left
+    out. Component and block are data of what they hold. Paragraphs of one id make one record, their texts in order.
+    """
+    paras = docs.select("doc_seq", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n\n")).alias("section", "p"))
+    tags = F.arrays_zip(F.regexp_extract_all("p", F.lit(TAG), F.lit(1)).alias("k"), F.regexp_extract_all("p", F.lit(TAG), F.lit(2)).alias("n"))
+    paras = paras.withColumn("tags", tags)
+    of = lambda kind: F.transform(F.filter("tags", lambda t: t["k"] == kind), lambda t: t["n"])
+    w = Window.partitionBy("doc_seq").orderBy("section").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = lambda kind: F.last(F.get(F.reverse(of(kind)), F.lit(0)), ignorenulls=True).over(w)
+    d = paras.withColumn("component", held("Component")).withColumn("block", held("Block"))
+    anchor = F.coalesce("block", "component")
+    targets = F.when(F.size(of("Function")) > 0, of("Function")).when(anchor.isNotNull(), F.array(anchor))
+    d = d.select("doc_seq", "section", "component", "block", of("Data").alias("data"), of("Access").alias("access"), of("Event").alias("events"), untagged(F.col("p")).alias("text"), F.posexplode(targets).alias("at", "id"))
+    around = F.filter(F.array("component", "block"), lambda x: x.isNotNull() & (x != F.col("id")))
+    d = d.withColumn("data", F.concat("data", around)).withColumn("action", F.lit("Dynamic Parse")).withColumn("logic", F.lit(""))
+    return merge_duplicates(d)
 
 
 def merge_duplicates(records: DataFrame) -> DataFrame:
-    """Records of one document and id become one: lists united and sorted, first action, first non-empty logic, first place."""
+    """Records of one document and id become one: lists united and sorted, first action, first non-empty logic, first place, texts in order."""
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"])
     return records.groupBy("doc_seq", "id").agg(
         F.min("section").alias("section"), F.min_by("action", "section").alias("action"),
         F.coalesce(F.min_by("logic", F.when(F.col("logic") != "", F.col("section"))), F.lit("")).alias("logic"), united("data"), united("access"), united("events"),
+        F.array_join(F.filter(texts, lambda t: t != ""), " ").alias("text"),
     )
 
 
-def detect_format(text: Column) -> Column:
-    return F.when(text.rlike(r"(?m)^\s*#[^\n]*\[ID:"), F.lit("atf")).otherwise(F.lit("text"))
+def outside_records(text: Column) -> Column:
+    """What is left of a text without its record sections: the lines from a heading with an id up to the next heading go."""
+
+    def step(a: Column, line: Column) -> Column:
+        inside = F.when(F.ltrim(line).startswith("#"), F.contains(line, F.lit("[ID:"))).otherwise(a["inside"])
+        return F.struct(inside.alias("inside"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(F.split(text, "\n"), start, step, lambda a: F.array_join(a["out"], "\n"))
+    return F.when(F.contains(text, F.lit("[ID:")), rest).otherwise(text)
+
+
+RECORD = ("id", "doc_seq", "passage_seq", "action", "text", "data", "access", "events")
+
+
+def parsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, links) of docs (doc_seq, text, format, source), each read in its format.
+
+    auto takes record sections as records and the rest as prose, headings folded; tags are read only where the format is
+    entity_tags, as in prose they are words like others. What yields nothing but has a letter or digit is read as prose.
+    """
+    none = F.array().cast("array<string>")
+    d = docs.select("doc_seq", F.coalesce("text", F.lit("")).alias("text"), "format", "source")
+    atf = checkpointed(parse_atf(d.filter(F.col("format").isin("atf", "auto"))))
+    own = merge_duplicates(atf).unionByName(tag_records(d.filter("format = 'entity_tags'"))).withColumn("passage_seq", F.col("section").cast("int"))
+    as_record = lambda p: p.withColumns({"action": F.lit("Passage"), "access": none, "events": none}).select(*RECORD)
+    prose = passages(d.filter("format = 'text'"), fold=False).unionByName(passages(d.filter("format = 'auto'").withColumn("text", outside_records(F.col("text")))))
+    found = checkpointed(own.select(*RECORD).unionByName(as_record(prose)))
+    missed = d.filter(F.col("format") != "text").join(found.select("doc_seq").distinct(), "doc_seq", "left_anti")
+    records = found.unionByName(as_record(passages(missed, fold=False)))
+    return records, atf.select(F.col("id").alias("owner"), F.explode("links").alias("target"))
 
 
 def strip_prefix_page(paragraphs: Column, most_chars: int = 600) -> Column:
