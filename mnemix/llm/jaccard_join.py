@@ -1,10 +1,12 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-Every text is the set of its five-word shingles. Each tree of the forest sorts texts by a signature of MinHash values
-of its own; texts under one prefix are candidates. The prefix is matched as long as it can be: from the full signature
-it is shortened until the chance that a pair at the threshold shares a prefix in at least one tree reaches the target
-recall. Candidate groups are verified exactly on whole shingle sets. A large group is cut into blocks and every pair of
-blocks is one small task, which counts its links in place: what leaves a task is one row a text, never pairs.
+Every text is the set of its five-word shingles. Each tree of the forest is a trie over signatures of MinHash values of
+its own; a node is a prefix, and texts under one node are candidates. How long a prefix must be is chosen for each text
+and tree: from the full signature it is shortened until the chance that a pair at the threshold shares a node in at
+least one tree reaches the target recall, whatever the data; and one value further wherever the node above is still
+small, so that texts with few relatives are compared with all of them and only crowded nodes keep the longer prefix.
+Candidate groups are verified exactly on whole shingle sets. A large group is cut into blocks and every pair of blocks is
+one small task, which counts its links in place: what leaves a task is one row a text, never pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from mnemix.llm.common import components, looked_up, saved
 
 N = 5
 C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-SIG = "doc_id long, k1 long, k2 long, n int, prefixes array<long>"
+SIG = "doc_id long, k1 long, k2 long, n int, upper array<long>, lower array<long>"
 
 
 class _Words(dict):
@@ -81,22 +83,25 @@ def _signatures(batches: Iterator[pd.DataFrame], trees: int, d: int) -> Iterator
                 at += 1
             n = np.array([len(s) for s in sets])
             full = np.flatnonzero(n)
-            prefixes = np.zeros((len(sets), trees), np.uint64)
+            upper, lower = (np.zeros((len(sets), trees), np.uint64) for _ in range(2))
             if len(full):
                 u = np.concatenate([sets[i] for i in full])
                 starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 low = np.stack([np.minimum.reduceat((u ^ x[k]) * a[k], starts) for k in range(trees * d)], axis=1).reshape(len(full), trees, d)
                 p = np.zeros((len(full), trees), np.uint64)
                 for j in range(d):
+                    if j == d - 1:
+                        upper[full] = _mix(p + tree * C[1])
                     p = _mix(p + low[:, :, j] + C[j % N])
-                prefixes[full] = _mix(p + tree * C[0])
+                lower[full] = _mix(p + tree * C[0])
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pd.DataFrame({
                 "doc_id": ids[first:at],
                 "k1": np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64).view(np.int64),
                 "k2": np.array([k >> 64 for k in keys], np.uint64).view(np.int64),
                 "n": n.astype(np.int32),
-                "prefixes": list(prefixes.view(np.int64)),
+                "upper": list(upper.view(np.int64)),
+                "lower": list(lower.view(np.int64)),
             })
 
 
@@ -219,16 +224,27 @@ def _grouped(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
         yield done()
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+def nodes(reps: DataFrame, small: int) -> DataFrame:
+    """(tid, bucket): the node of each tree in which a text is compared, of those that another text is under, too.
+
+    upper and lower are a tree's nodes one value above and at the length that reaches the target recall. A pair that
+    shares a lower node shares the upper one, and both texts see the same size of it, so they always agree on the node.
+    """
+    under = reps.select(F.col("k1").alias("tid"), F.explode(F.arrays_zip("upper", "lower")).alias("t")).select("tid", "t.upper", "t.lower")
+    held = under.groupBy("upper").agg(F.count("*").alias("n")).filter("n > 1")
+    return under.join(held, "upper").select("tid", F.when(F.col("n") <= small, F.col("upper")).otherwise(F.col("lower")).alias("bucket"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256, small: int = 16) -> DataFrame:
     """doc_id, n (shingles), k1, k2 (the text's shingle set), class_id, n_links of every row of docs; see join()."""
     d = depth(trees, longest, threshold, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = rows.filter(F.col("doc_id").isNotNull())
     sig = saved(some.mapInPandas(lambda it: _signatures(it, trees, d), SIG), "signatures")
-    reps = sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("prefixes").alias("prefixes"))
+    reps = sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("upper").alias("upper"), F.any_value("lower").alias("lower"))
     reps = saved(reps, "texts")
     # a text goes by k1: an id may stand for several texts, so it cannot name one
-    under = reps.select(F.col("k1").alias("tid"), F.explode("prefixes").alias("bucket"))
+    under = saved(nodes(reps, small), "nodes")
     sizes = under.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("tid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("x2")).filter("size > 1")
     one_of_equal = sizes.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     takes = under.join(one_of_equal, "bucket").groupBy("tid").agg(F.collect_list(F.struct("bucket", "size")).alias("b"))
@@ -248,7 +264,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: i
     return worded.unionByName(bare)
 
 
-def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.9999, block: int = 256, small: int = 16) -> DataFrame:
     """doc_id, class_id, n_links of every row of docs.
 
     n_links is the number of other rows whose shingle sets are at least `threshold` similar (Jaccard); class_id is the
@@ -257,6 +273,6 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 24, longest: int
     texts of white space, have no shingles and no links. A row without an id takes no part: its class is null. Rows
     that repeat an id with another text are texts of their own, each with its own links. Other columns are ignored.
     """
-    found = classes(docs, threshold, trees, longest, recall, block).select("doc_id", "class_id", "n_links")
+    found = classes(docs, threshold, trees, longest, recall, block, small).select("doc_id", "class_id", "n_links")
     none = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(none)

@@ -227,12 +227,34 @@ def test_jaccard_join_brute_force(spark):
                 links[a] += 1
                 links[b] += 1
                 root[a] = root[b] = min(root[a], root[b])
+    for small in (0, 3):  # no prefix shortened further; some
+        g = {x.doc_id: (x.n_links, x.class_id) for x in jaccard_join.join(docs(spark, texts), block=8, small=small).collect()}
+        assert g == {i: (links[i] // 3, root[i]) for i in range(len(texts))}
     got = jaccard_join.join(docs(spark, texts), block=8).collect()
     assert len(got) == len(texts)
     assert {g.doc_id: g.n_links for g in got} == {i: links[i] // 3 for i in range(len(texts))}
     assert {g.doc_id: g.class_id for g in got} == dict(enumerate(root))
 
 
+def test_forest_recall_at_the_threshold():
+    """Pairs of sets of exactly the threshold's similarity, through the signatures themselves: shares of nodes against the chances that depth() counts with."""
+    d, rows = jaccard_join.depth(24, 8, 0.8, 0.9999), []
+    for i in range(1500):
+        w = [f"a{i}_{x}" for x in range(49)]  # 45 shingles; a change in a run's first word changes one of them
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(["b", *w[1:-4], *(f"c{j}" for j in range(4))]))]
+    texts = pd.DataFrame(rows, columns=["doc_id", "text"])
+    got = pd.concat(jaccard_join._signatures(iter([texts]), 24, d)).reset_index(drop=True)
+    words = jaccard_join._Words()
+    a, b = (jaccard_join.shingles(rows[k][1], words) for k in (0, 1))
+    s = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    low, up = (np.array(got[c].tolist()) for c in ("lower", "upper"))
+    for keys, length in ((low, d), (up, d - 1)):
+        shared = (keys[0::2] == keys[1::2]).mean()
+        assert abs(shared - s**length) < 0.02
+    assert ((low[0::2] == low[1::2]) <= (up[0::2] == up[1::2])).all()  # under one lower node means under one upper one
+    assert (low[0::2] == low[1::2]).any(axis=1).mean() >= 1 - 2 * (1 - s**d) ** 24 - 0.002
+
+
 def test_jaccard_join_of_an_id_with_two_texts(spark):
     r = random.Random(9)
     a, b = (" ".join(r.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(2))
