@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemix.llm import ann, decontaminate, html_text, jaccard_join, lang_id, lattice_lm, mixing, pii, quality, token_count
+from mnemix.llm import ann, decontaminate, html_text, jaccard_join, lang_id, lattice_lm, mixing, oracles, pii, quality, token_count
 from mnemix.llm.common import fold, pii_key, read
 
 
@@ -60,6 +60,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_source_mix, op4_jaccard_join, op5_quality, op6_main_text, op7_pseudonyms, op8_token_counts, op9_lattice_score, op10_decontaminate)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3's result SQL can say: sizes and targets."""
+    return op3_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
-ORACLE: dict[str, str] = {}
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8's result SQL can say: sizes in bytes."""
+    return op8_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def lattice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9's result SQL can say: folds, counts and the word model's score."""
+    return op9_lattice_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+OPERATORS = (op1_ann, op2_language_id, op3_source_mix, op4_jaccard_join, op5_quality, op6_main_text, op7_pseudonyms, op8_token_counts, op9_lattice_score, op10_decontaminate)
+QUERIES = {f.__name__: f for f in (*OPERATORS, mix_targets, token_bytes, lattice_base)}
+
+ORACLE = {"op4_jaccard_join": oracles.JACCARD, "mix_targets": oracles.MIX_TARGETS, "token_bytes": oracles.TOKEN_BYTES, "lattice_base": oracles.LATTICE_BASE}
