@@ -170,7 +170,7 @@ def x20_ground_states(spark, sf):
 
 
 @query(f"""WITH {duck.CASCADE}, hd AS (SELECT query_id, stage = 'hub' OR coverage < 0.5 AS handoff, stage FROM verdict),
-told AS (SELECT q.query_id AS state_id, hd.handoff, hd.stage, CASE WHEN hd.handoff OR coalesce(n.text, '') = '' THEN q.q ELSE to_json({{'passage': n.text, 'input': q.q}}) END AS state, NOT hd.handoff AND coalesce(n.text, '') <> '' AS used
+told AS (SELECT q.query_id AS state_id, hd.handoff, hd.stage, CASE WHEN hd.handoff OR coalesce(n.text, '') = '' THEN q.q ELSE to_json({{'passage': n.text, 'input': q.q}})::VARCHAR END AS state, NOT hd.handoff AND coalesce(n.text, '') <> '' AS used
   FROM queries q JOIN hd USING (query_id) LEFT JOIN hits h ON h.query_id = q.query_id AND h.rank = 1 LEFT JOIN nodes n ON n.node_id = h.node_id),
 {_options(QUESTIONS[2:])}, lo AS (SELECT state_id, qid, kind, o, label, {HASHED} + 0.05 * o AS l FROM told CROSS JOIN qo),
 pr AS (SELECT state_id, qid, kind, o, label, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY state_id, qid) AS p FROM (SELECT *, max(l) OVER (PARTITION BY state_id, qid) AS m FROM lo)), a AS ({answers()})
