@@ -64,6 +64,9 @@ def test_ann_factor_one_is_exact_and_ties_go_to_small_ids(spark):
         assert [i for _, i, _ in sorted(hits)] == [i for _, i in want]
         assert all(math.isclose(s, -w) for (_, _, s), (w, _) in zip(sorted(hits), want))
     assert ann.nearest(d.limit(0), F.lit(True)).count() == 0
+    assert ann.nearest(d, F.lit(None).cast("boolean")).count() == 0  # a null flag asks for nothing
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (20, [2.0]), (21, [3.0])], "vec_id long, embedding array<double>")
+    assert {(g.query_id, g.rank, g.vec_id) for g in ann.nearest(two, F.col("vec_id") % 20 == 0).collect()} == {(0, 1, 1), (20, 1, 21), (20, 2, 2)}
 
 
 @pytest.mark.parametrize("norms", ["unit", "free", "clusters"])
@@ -131,6 +134,37 @@ def test_gru_gradient_matches_differences():
         assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-3
 
 
+def test_positions_and_pooling_brute_force():
+    """The batched recurrence against one byte at a time in plain loops, over texts of several windows."""
+    net = lang_id.ByteGRU(["a", "b", "c"], hidden=3, seed=5)
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(raw, d):
+        h, out = np.zeros(3), {}
+        for t in range(len(raw)) if d == "f" else reversed(range(len(raw))):
+            a, g = w[f"x{d}"][raw[t]], h @ w[f"u{d}"]
+            z, r = sigmoid(a[:3] + g[:3]), sigmoid(a[3:6] + g[3:6])
+            h = (1 - z) * np.tanh(a[6:] + r * g[6:]) + z * h
+            out[t] = h
+        return out
+
+    def pooled(text, window=128):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), window):
+            part = raw[at : at + window]
+            f, b = states(part, "f"), states(part, "b")
+            for t in range(len(part)):
+                logit = f[t] @ w["of"] + b[t] @ w["ob"] + w["o"]
+                e = np.exp(logit - logit.max())
+                total += e / e.sum()
+        return total / len(raw)
+
+    texts = ["short", "ein längerer Text " * 15, "x" * 128, "y" * 129]
+    assert np.allclose(net.pooled(texts), [pooled(t) for t in texts], atol=1e-4)
+    assert len(net.label_positions(texts[1])) == len(texts[1].encode())
+
+
 def test_language_id_held_out(spark):
     r = random.Random(0)
     words = {"en": ["the", "thing", "other", "where", "with"], "xx": ["zuk", "qaz", "kvo", "zzu", "vik"]}
@@ -507,6 +541,7 @@ def test_token_counts_equal_the_library(counters, text):
 
 
 def test_token_counts_odd_rows(spark):
+    assert token_count.count_tokens(empty(spark), P.path("byte_bpe_50k.json")).count() == 0
     got = token_count.count_tokens(odd(spark), P.path("byte_bpe_50k.json")).collect()
     assert [r.n_tokens for r in got if not r.text] == [0, 0] and any(r.over_limit for r in got if r.doc_id == 4)
 
@@ -546,6 +581,84 @@ def test_lattice_score(spark):
     assert lattice_lm.score(odd(spark), P.path("piece_bpe_32k.model")).count() == 8
 
 
+def test_lattice_mixture_brute_force(spark):
+    """score of one cluster, rule by rule in plain loops: re-estimated pieces, leave-one-out shares, urns and ends."""
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["kato", "lomi", "tresun", "mi", "sunlo", "abzug"], k=r.randint(3, 30))) for _ in range(60)] + ["zzq kato kato", "", None]
+    path = P.path("piece_bpe_32k.model")
+    got = {g.doc_id: g for g in lattice_lm.score(docs(spark, texts), path, rounds=1, clusters=1).collect()}
+    low = [(t or "").encode().split() for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for i in train for w in low[i])
+    n, v = sum(c.values()), lattice_lm.Vocabulary.from_sentencepiece(path)
+    p = {b: math.exp(x) for b, x in zip(v.pieces, v.logp)}
+
+    def ways(w):
+        if not w:
+            yield ()
+        for i in range(1, len(w) + 1):
+            if w[:i] in p:
+                for rest in ways(w[i:]):
+                    yield (w[:i], *rest)
+
+    uses = dict(p)
+    for w, k in c.items():
+        every = [(math.prod(p[b] for b in way), way) for way in ways(b" " + w)]
+        total = sum(x for x, _ in every)
+        for x, way in every:
+            for b in way:
+                uses[b] += k * x / total
+    size = sum(uses.values())
+    m = {w: sum(math.prod(uses[b] / size for b in way) for way in ways(b" " + w)) for w in {w for ws in low for w in ws}}
+    grid = [sum(k * math.log(a * (k - 1) / (n - 1) + b * (k - 1) / (n - 1) + (1 - a - b) * m[w]) for w, k in c.items()) for a, b in lattice_lm.GRID]
+    a, b = lattice_lm.GRID[int(np.argmax(grid))]
+    lm = {w: a * c[w] / n + b * c[w] / n + (1 - a - b) * x for w, x in m.items()}
+    end = (len(train) + 1) / (n + len(train) + 2)
+    for i, ws in enumerate(low):
+        kinds = [math.prod(lm[w] for w in ws)]
+        for urn in (500.0, 20.0):
+            seen, x = Counter(), 1.0
+            for at, w in enumerate(ws):
+                x *= (urn * lm[w] + seen[w]) / (urn + at)
+                seen[w] += 1
+            kinds.append(x)
+        want = math.log10(sum(kinds) / 3) + len(ws) * math.log10(1 - end) + math.log10(end)
+        assert math.isclose(got[i].score, want, rel_tol=1e-6), i
+        alone = sum(math.log10(m[w]) for w in ws) + len(ws) * math.log10(1 - end) + math.log10(end)
+        assert math.isclose(got[i].lattice_score, alone, rel_tol=1e-6)
+    assert lattice_lm.score(empty(spark), path).count() == 0
+
+
+def test_decontamination_brute_force(spark):
+    """Every alignment of every document with every item, word by word, on short words that often agree."""
+    r = random.Random(12)
+    w = lambda k: [r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("xyz") for _ in range(k)]
+    items = [w(k) for k in (4, 5, 7, 9, 13, 13, 16, 25)]
+    texts = []
+    for _ in range(150):
+        t = w(r.randint(0, 12))
+        for _ in range(2):
+            item = list(r.choice(items))
+            for _ in range(r.randint(0, 4)):
+                item[r.randrange(len(item))] = r.choice("abc") + "q"
+            t += item[r.randint(0, 3) :] + w(r.randint(0, 5))
+        texts.append(t)
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            run = min(13, len(item))
+            best = 0
+            for shift in range(-len(item), len(t) + 1):
+                same = [0 <= j + shift < len(t) and t[j + shift] == x for j, x in enumerate(item)]
+                best = max([best, *(sum(same[k : k + run]) for k in range(len(item) - run + 1))])
+            if best >= math.ceil(run * 0.8):
+                want[d, i] = best
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(g.doc_id, g.item_id): g.n_equal for g in decontaminate.overlaps(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert set(got) <= set(want) and all(n <= want[k] for k, n in got.items())
+    assert len(got) >= 0.98 * len(want)
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 
 
