@@ -15,7 +15,7 @@ from mnemix.operators import memory as M
 from mnemix.operators import retrieval as R
 from mnemix.plans import duck
 from mnemix.sources import ingest
-from mnemix.sources.tables import checkpointed, read, saved, spread
+from mnemix.sources.tables import checkpointed, read, running, saved, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,15 +100,22 @@ def t14_plain_state(spark, sf):
     return D.plain_state(read(spark, sf, "conversations")).select("conv_id", F.md5("state").alias("state"))
 
 
-@query("SELECT p_partkey, lower(replace(p_type, ' ', '_')) || '+' || p_size AS items FROM part")
+@query("""WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS w, p_size FROM part)
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN array_to_string(w, '+') WHEN 1 THEN array_to_string(list_transform(w, lambda x: x || '_a'), '+') ELSE array_to_string(list_prepend('x1', w), '+') END AS items FROM w""")
 def t15_list_items(spark, sf):
-    p = read(spark, sf, "part").withColumn("v", F.concat(F.lit("{"), F.lower("p_type"), F.lit("; `"), F.col("p_size").cast("string"), F.lit("`, |}")))
-    return p.select("p_partkey", F.array_join(T.list_items(F.col("v")), "+").alias("items"))
+    w = F.split("p_type", " ")
+    one = F.concat(F.lit("["), F.array_join(w, "], ["), F.lit("]"))
+    two = F.concat(F.lit("{`"), F.array_join(F.transform(w, lambda x: F.concat(x, F.lit(" a"))), "'; \""), F.lit("`} | --- ;"))
+    three = F.concat(F.lit(" (x1)|;, "), F.array_join(w, " | "))
+    v = F.when(F.col("p_size") % 3 == 0, one).when(F.col("p_size") % 3 == 1, two).otherwise(three)
+    return read(spark, sf, "part").select("p_partkey", F.array_join(T.list_items(v), "+").alias("items"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS title FROM part")
+@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(CASE p_size % 3 WHEN 0 THEN p_name || '  (a Part)' WHEN 1 THEN '(x) ' || p_name || ' (' || p_size || ') End' ELSE replace(p_name, ' ', '   ') || ' (open' END), '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM part""")
 def t16_normalized_title(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", T.normalized_title(F.concat(F.upper("p_name"), F.lit("  (a Part) "))).alias("title"))
+    n = F.upper("p_name")
+    t = F.when(F.col("p_size") % 3 == 0, F.concat(n, F.lit("  (a Part)"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("(x) "), n, F.lit(" ("), F.col("p_size").cast("string"), F.lit(") End"))).otherwise(F.concat(F.replace(n, F.lit(" "), F.lit("   ")), F.lit(" (open")))
+    return read(spark, sf, "part").select("p_partkey", T.normalized_title(t).alias("title"))
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct({duck.terms('text')}) AS t FROM benchmark), r AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS rn FROM (SELECT item_id, unnest(t) AS w FROM b))
@@ -170,6 +177,20 @@ def s3_newest_wins(spark, sf):
     return ingest.newest_wins(e, "id", ("doc_seq",)).select("id", "doc_seq", "event_type", "value")
 
 
+@query("""WITH old AS (SELECT DISTINCT o_custkey AS owner, o_custkey % 50 + 1 AS target FROM orders), new AS (SELECT c_custkey AS owner, c_nationkey + 1 AS target FROM customer WHERE c_custkey % 3 = 0)
+SELECT 'link' AS kind, owner::VARCHAR AS a, target::VARCHAR AS b FROM old WHERE owner NOT IN (SELECT owner FROM new) UNION SELECT 'link', owner::VARCHAR, target::VARCHAR FROM new
+UNION SELECT 'concept', c_custkey::VARCHAR, lower(c_mktsegment) FROM customer WHERE c_custkey % 3 <> 0""")
+def s3_links_and_concepts(spark, sf):
+    """Records defined again lose the links they own and their concepts; links that point at them stay."""
+    c = read(spark, sf, "customer")
+    again = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    old = read(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), (F.col("o_custkey") % 50 + 1).alias("target")).distinct()
+    new = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("owner"), (F.col("c_nationkey") + 1).alias("target"))
+    links = ingest.upsert_links(old, new, again).select(F.lit("link").alias("kind"), F.col("owner").cast("string").alias("a"), F.col("target").cast("string").alias("b"))
+    concepts = c.select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("stem")).join(again, "id", "left_anti")
+    return links.unionByName(concepts.select(F.lit("concept").alias("kind"), F.col("id").cast("string").alias("a"), F.col("stem").alias("b")))
+
+
 @query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderstatus = 'F'")
 def s8_upsert(spark, sf):
     o = read(spark, sf, "orders")
@@ -325,14 +346,6 @@ def r19_context(spark, sf):
     return R.context(h, 60)
 
 
-@query()
-def l6_components(spark, sf):
-    from mnemix.operators import topology
-
-    e = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("b"))
-    return topology.components(e)
-
-
 @query(f"WITH {duck.GRAPH}, sized AS (SELECT 'x' AS k) SELECT count(*) FILTER (level_rank = 0) AS functions, count(*) AS nodes, (SELECT count(*) FROM links) AS edges, count(*) FILTER (degree = 0) AS isolated, min(degree) FILTER (level_rank = 0) AS min_links, round(2 * (SELECT count(*) FROM links) / count(*), 6) AS avg_degree FROM nodes")
 def q4_density_report(spark, sf):
     from mnemix.operators import density
@@ -533,8 +546,7 @@ def l1_communities(spark, sf):
     from mnemix.operators import topology
 
     e = read(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("d"), F.date_format("l_shipdate", "yyyyMM"), F.lit("_"), (F.col("l_suppkey") % 7).cast("string")).alias("b")).distinct()
-    e = checkpointed(e.withColumn("seq", F.row_number().over(Window.orderBy("a", "b")).cast("long")))
-    return topology.communities(e)
+    return topology.communities(running(e, ["a", "b"], F.lit(1).cast("long"), "seq").select("a", "b", "seq"))
 
 
 @query("""WITH e AS (SELECT o_custkey % 10 AS ca, o_custkey % 3 AS cb FROM orders), t AS (SELECT c, count(*) AS t FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY 1), i AS (SELECT ca AS c, count(*) AS i FROM e WHERE ca = cb GROUP BY 1)
@@ -547,17 +559,6 @@ def l3_modularity(spark, sf):
     return topology.modularity(e.select("a", "b"), parts)
 
 
-@query()
-def l7_traverse(spark, sf):
-    from mnemix.operators import topology
-
-    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array("c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).alias("data"))
-    links = checkpointed(M.typed_links(c))
-    nodes = checkpointed(M.node_table(c.withColumn("action", F.lit("")).withColumn("text", F.lit("")), links))
-    starts = nodes.filter("level = 'data' and node_id like 'D@_n%' escape '@'").select("node_id")
-    return topology.traverse(nodes, links, starts, 2, 40)
-
-
 @query(f"WITH {duck.PASSAGES}, t AS (SELECT id, unnest({duck.terms("id || ' Passage ' || text")}) AS w FROM records), s AS (SELECT id, {duck.stem('t.w')} AS stem FROM t) SELECT id, stem, count(*) AS tf FROM s WHERE NOT regexp_matches(stem, '^[0-9]+$') GROUP BY 1, 2")
 def i6_body_stems(spark, sf):
     from mnemix.operators import density
@@ -565,16 +566,6 @@ def i6_body_stems(spark, sf):
     return density.body_stems(memory(spark, sf).records)
 
 
-@query()
-def q5_densify(spark, sf):
-    from mnemix.operators import density
-
-    none = spark.createDataFrame([], "id string, stem string")
-    m = memory(spark, sf)
-    failing = density.failures(density.probed(m, checkpoint=checkpointed))
-    return density.densify(m, m.records, none, 1, min_links=12, failing=failing)
-
-
 @query(f"""WITH {NEAR_SQL}, w AS (SELECT probe, truth, label, round(sum(exp((sim - top) / 0.2)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near WHERE rank <= 8) GROUP BY 1, 2, 3),
 b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY probe ORDER BY w DESC, label DESC) = 1), l AS (SELECT avg((label = truth)::INT) AS loo FROM b), m AS (SELECT max(n) / sum(n) AS maj FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))
 SELECT round(least(greatest((loo - maj) / (1 - maj), 0), 1), 6) AS trust FROM l CROSS JOIN m""")

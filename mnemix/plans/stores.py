@@ -211,11 +211,28 @@ def f2_exact_id(spark, sf):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'd' || strftime(o_orderdate, '%Y%m%d') AS b FROM orders), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ GROUP BY a UNION SELECT b.a, min(r.root) FROM reach r JOIN both_ b ON b.b = r.node JOIN recurring.reach x ON x.node = b.a WHERE r.root < x.root GROUP BY b.a) SELECT node, root FROM reach""")
-def l6_component_roots(spark, sf):
+def l6_components(spark, sf):
     e = read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("b"))
     return topology.components(e)
 
 
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS id, c_mktsegment AS seg, 'n' || c_nationkey AS nat FROM customer), lk AS (SELECT DISTINCT 'F_' || id AS f, 'D_' || d AS d FROM (SELECT id, seg AS d FROM c UNION ALL SELECT id, nat FROM c)),
+bw AS (SELECT f AS a, d AS b FROM lk UNION ALL SELECT d, f FROM lk), nd AS (SELECT a AS node_id, count(*) AS degree, CASE WHEN starts_with(a, 'F_') THEN 0 ELSE 1 END AS level_rank FROM bw GROUP BY 1),
+s0 AS (SELECT node_id AS start, node_id, 0 AS depth, 1::BIGINT AS ord FROM nd WHERE starts_with(node_id, 'D_n')),
+e1 AS (SELECT start, b AS next, min(ord) AS parent FROM s0 JOIN bw ON a = node_id GROUP BY 1, 2),
+s1 AS (SELECT start, next AS node_id, 1 AS depth, 1 + row_number() OVER (PARTITION BY start ORDER BY parent, level_rank, degree DESC, next) AS ord FROM e1 JOIN nd ON nd.node_id = next QUALIFY ord <= 40),
+s01 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1), h AS (SELECT start, max(ord) AS held FROM s01 GROUP BY 1),
+e2 AS (SELECT s1.start, b AS next, min(ord) AS parent FROM s1 JOIN bw ON a = node_id WHERE NOT EXISTS (SELECT 1 FROM s01 x WHERE x.start = s1.start AND x.node_id = b) GROUP BY 1, 2),
+s2 AS (SELECT start, next AS node_id, 2 AS depth, held + row_number() OVER (PARTITION BY start ORDER BY parent, level_rank, degree DESC, next) AS ord FROM e2 JOIN nd ON nd.node_id = next JOIN h USING (start) QUALIFY ord <= 40)
+SELECT * FROM s01 UNION ALL SELECT * FROM s2""")
+def l7_traverse(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array("c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).alias("data"))
+    links = checkpointed(M.typed_links(c))
+    nodes = checkpointed(M.node_table(c.withColumn("action", F.lit("")).withColumn("text", F.lit("")), links))
+    starts = nodes.filter("level = 'data' and node_id like 'D@_n%' escape '@'").select("node_id")
+    return topology.traverse(nodes, links, starts, 2, 40)
+
+
 PARTS = """n AS (SELECT 'F_' || c_custkey AS node_id, c_custkey % 10 AS community, c_custkey FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'D_' || n_name, CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE n_nationkey + 90 END, NULL FROM nation),
 alln AS (SELECT node_id FROM n UNION ALL SELECT 'F_' || c_custkey FROM customer WHERE c_custkey % 4 = 0),
 g AS (SELECT community, count(*) FILTER (starts_with(node_id, 'F_')) AS n, min(substr(node_id, 3)) FILTER (starts_with(node_id, 'F_')) AS one FROM n GROUP BY 1),
@@ -420,11 +437,27 @@ def q4_policy(spark, sf):
     return density.policy(memory(spark, sf))
 
 
-@query(f"""WITH {duck.INDEX}, bt AS (SELECT id, unnest({duck.terms("id || ' Passage ' || text")}) AS w FROM records), bs AS (SELECT id, stem, count(*) AS tf FROM (SELECT id, {duck.stem('bt.w')} AS stem FROM bt) WHERE NOT regexp_matches(stem, '^[0-9]+$') GROUP BY 1, 2),
-sd AS (SELECT stem, count(*) AS df FROM bs GROUP BY 1), nr AS (SELECT count(*) AS n FROM records), needy AS (SELECT substr(node_id, 3) AS id FROM nodes WHERE level_rank = 0 AND degree < 12),
+def densified(needy: str) -> str:
+    return f"""bt AS (SELECT id, unnest({duck.terms("id || ' Passage ' || text")}) AS w FROM records), bs AS (SELECT id, stem, count(*) AS tf FROM (SELECT id, {duck.stem('bt.w')} AS stem FROM bt) WHERE NOT regexp_matches(stem, '^[0-9]+$') GROUP BY 1, 2),
+sd AS (SELECT stem, count(*) AS df FROM bs GROUP BY 1), nr AS (SELECT count(*) AS n FROM records), needy AS ({needy}),
 c AS (SELECT bs.id, bs.stem, n >= 10 AND df / n > 0.5 AS common, df, tf FROM bs JOIN needy USING (id) JOIN sd USING (stem) CROSS JOIN nr),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY common, df <= 1, df, tf DESC, stem) AS rn, bool_or(NOT common) OVER (PARTITION BY id) AS other FROM c)
-SELECT id, stem FROM r WHERE rn <= 4 AND (NOT common OR NOT other)""")
+SELECT id, stem FROM r WHERE rn <= 4 AND (NOT common OR NOT other)"""
+
+
+FEW = "SELECT substr(node_id, 3) AS id FROM nodes WHERE level_rank = 0 AND degree < 12"
+FAILED = "SELECT substr(query_id, 3) AS id FROM (SELECT query_id FROM queries q WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.node_id = q.query_id AND q.query_id NOT IN (SELECT query_id FROM left4)) ORDER BY query_id LIMIT 20)"
+
+
+@query(f"WITH {duck.cascade(ASKING)}, {densified(f'{FEW} UNION {FAILED}')}")
+def q5_densify(spark, sf):
+    """The first round: records with fewer than twelve links or a failed probe."""
+    m = memory(spark, sf)
+    failing = density.failures(density.probed(m, checkpoint=checkpointed))
+    return density.densify(m, m.records, spark.createDataFrame([], "id string, stem string"), 1, min_links=12, failing=failing)
+
+
+@query(f"WITH {duck.INDEX}, {densified(FEW)}")
 def q5_concepts(spark, sf):
     """The first round for records with fewer than twelve links, without probes."""
     m = memory(spark, sf)
