@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@dataclass
-class DecideOptions:
-    min_confidence: float = 0.0
-    margin: float = 0.5
-    memory_weight: float = 2.0
-    agreement_votes: int = 6
-    agreement_loo: float = 0.6
-    memory_first_gap: float = 0.2
-    shortlist: int = 16
-    finalists: int = 3
-
-
 def temperature_bucket(kind: Column, n: Column) -> Column:
     size = F.when(n <= 2, "2").when(n <= 5, "3-5").when(n <= 10, "6-10").otherwise("11+")
     return F.concat_ws(":", kind, size)
@@ -83,10 +69,6 @@ def out_of_scope(answers: DataFrame, sims: DataFrame, least_sim: float, least_p:
     return answers.join(top, "query_id", "left").withColumn("out_of_scope", (F.coalesce("top_sim", F.lit(-1.0)) < least_sim) | (F.col("p") < least_p))
 
 
-def handoff(confidence: Column, threshold: float) -> Column:
-    return F.lit(threshold > 0) & (confidence < threshold)
-
-
 def tournament_groups(options: DataFrame, size: int = 16) -> DataFrame:
     """options (query_id, option from 0) with the group each meets in: ceil(n / size) groups of equal width."""
     n = F.count("*").over(Window.partitionBy("query_id"))
@@ -100,11 +82,6 @@ def finalists(scored: DataFrame, keep: int = 3) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("query_id", "option")
 
 
-def render_option(kind: Column, level: Column, label: Column, text: Column) -> Column:
-    named = F.when(F.coalesce(text, F.lit("")) == "", label).otherwise(F.concat_ws(": ", label, text))
-    return F.when(kind == "score", F.concat(F.lit("level "), level.cast("string"), F.lit(": "), text)).otherwise(named)
-
-
 def plain_state(turns: DataFrame) -> DataFrame:
     """(conv_id, state): the texts of a conversation's turns in order, one a line."""
     g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))

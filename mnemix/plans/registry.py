@@ -217,8 +217,16 @@ def s14_mention_window(spark, sf):
 # graph and index ------------------------------------------------------------------------------------------------------
 
 
+SHARED: dict | None = None  # where it is a dict, queries of one session share the tables of a memory, as the tests do
+
+
 def memory(spark, sf):
-    return M.passage_memory(ingest.newest_wins(passages(spark, sf)))
+    if SHARED is None:
+        return M.passage_memory(ingest.newest_wins(passages(spark, sf)))
+    key = spark.sparkContext.applicationId, sf
+    if key not in SHARED:
+        SHARED[key] = M.passage_memory(ingest.newest_wins(passages(spark, sf)))
+    return SHARED[key]
 
 
 @query(f"WITH {duck.GRAPH} SELECT a, b FROM links")

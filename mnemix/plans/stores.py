@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from mnemix.engine import Engine
 from mnemix.functions import text as T
 from mnemix.operators import density, store, topology
+from mnemix.operators import experience as E
 from mnemix.operators import memory as M
 from mnemix.operators import retrieval as R
 from mnemix.operators import scoring as S
 from mnemix.plans import duck
 from mnemix.plans.decisions import vectors_sql
-from mnemix.plans.registry import VECTORS_SQL, memory, passages, query, questions, read, vectors
+from mnemix.plans.registry import NEAR_SQL, VECTORS_SQL, cases, memory, query, questions, read, vectors
 from mnemix.sources import ingest
 from mnemix.sources.tables import checkpointed, saved, shared_dir
 
@@ -462,3 +463,32 @@ def q5_concepts(spark, sf):
     """The first round for records with fewer than twelve links, without probes."""
     m = memory(spark, sf)
     return density.densify(m, m.records, spark.createDataFrame([], "id string, stem string"), 1, min_links=12)
+
+
+# experience --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {NEAR_SQL}, grid AS (SELECT k, t, row_number() OVER (ORDER BY ki, ti) AS cell FROM (VALUES (1, 1), (2, 2), (4, 3), (8, 4), (16, 5), (32, 6)) a(k, ki), (VALUES (0.02::DOUBLE, 1), (0.05, 2), (0.1, 3), (0.2, 4), (1.0, 5)) b(t, ti)),
+g AS (SELECT k, t, cell, probe, truth, label, round(sum(exp((sim - top) / t)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near) JOIN grid ON rank <= k GROUP BY ALL),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY cell, probe ORDER BY w DESC, label) = 1) SELECT k, t AS temperature, round(avg((label = truth)::INT), 6) AS accuracy FROM b GROUP BY k, t, cell ORDER BY 3 DESC, cell LIMIT 1""")
+def e6_best_cell(spark, sf):
+    c = cases(spark, sf)
+    return E.best_cell(E.grid_accuracy(E.neighbours(c, c)))
+
+
+@query("SELECT DISTINCT i * n // 70 AS seq FROM range(0, 70) r(i), (SELECT count(*) AS n FROM embeddings)")
+def e7_probe_places(spark, sf):
+    return E.loo_probes(cases(spark, sf), 70).select("seq")
+
+
+@query(f"""WITH {NEAR_SQL}, v8 AS (SELECT probe, truth, label, count(*) AS n FROM near WHERE rank <= 8 GROUP BY 1, 2, 3), vb AS (SELECT probe, truth, label FROM v8 QUALIFY row_number() OVER (PARTITION BY probe ORDER BY n DESC, label) = 1),
+w AS (SELECT probe, truth, label, round(sum(exp((sim - top) / 0.2)), 9) AS w FROM (SELECT *, max(sim) OVER (PARTITION BY probe) AS top FROM near WHERE rank <= 8) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY probe ORDER BY w DESC, label DESC) = 1), l AS (SELECT avg((label = truth)::INT) AS loo FROM b), m AS (SELECT max(n) / sum(n) AS maj FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))
+SELECT (SELECT count(*) FROM embeddings) AS size, (SELECT round(avg((label = truth)::INT), 6) FROM vb) AS accuracy, round(least(greatest((loo - maj) / (1 - maj), 0), 1), 6) AS trust, 0 AS after_forget FROM l CROSS JOIN m""")
+def e8_learn_and_forget(spark, sf):
+    e = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", "cases")
+    c = cases(spark, sf).select(F.lit("which").alias("question"), F.col("seq").cast("long").alias("seq"), "vec", "label")
+    accuracy = e.learn(c)["which"]
+    row = (e.experience_size(), accuracy, e.trust()["which"])
+    e.forget()
+    return spark.createDataFrame([(*row, e.experience_size())], "size long, accuracy double, trust double, after_forget long")

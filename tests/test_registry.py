@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from mnemix.plans import registry
 from mnemix.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +21,14 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_memory():
+    """One build of the memory serves all queries of these tests."""
+    registry.SHARED = {}
+    yield
+    registry.SHARED = None
+
+
 def rows(d):
     d = d[sorted(d.columns)]
     return d.sort_values(list(d.columns), key=lambda c: c.astype(str) if c.dtype == object else c).reset_index(drop=True)
