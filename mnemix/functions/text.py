@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -202,3 +205,6 @@ def loader_terms(text: Column) -> Column:
     """The loader's own tokens: runs of ASCII letters and digits, longer than two, outside a small list; a sorted set."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(LOADER_STOPWORDS))))
+
+# what runs on executors travels with the plan, so they need not hold this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -212,3 +214,6 @@ def _plain(states: pd.Series) -> pd.Series:
             return s
 
     return states.map(one, na_action="ignore")
+
+# what runs on executors travels with the plan, so they need not hold this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,11 +7,13 @@ model takes their place by the same two methods.
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -166,3 +168,6 @@ def refreshed_embeddings(nodes: DataFrame, old: DataFrame, embedder: Embedder) -
     kept = old.join(now.select("node_id", "hash"), ["node_id", "hash"], "left_semi").select("node_id", "hash", "vec")
     new = now.join(kept.select("node_id"), "node_id", "left_anti").select("node_id", "hash", embedded(F.col("of"), embedder).alias("vec"))
     return kept.unionByName(new)
+
+# what runs on executors travels with the plan, so they need not hold this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -122,3 +124,6 @@ def in_pool(ranked: DataFrame, pool: DataFrame) -> DataFrame:
 def checked_dim(vectors: DataFrame, dim: int) -> DataFrame:
     """vectors, each checked to be of the namespace's length when it is read."""
     return vectors.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit(f"a vector of length {dim} is wanted, not "), F.size("vec").cast("string")))))
+
+# what runs on executors travels with the plan, so they need not hold this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
