@@ -90,14 +90,19 @@ def _groups(alive: Column, most: int, cut: Column) -> Column:
 def decide(states: DataFrame, questions: list[Question], scorer, options: Options | None = None, experience: Experience | None = None, embedder=None) -> DataFrame:
     """state_id, qid, kind, answer, value, confidence, probabilities, alive, rounds, strategy, handoff, out_of_scope, cached of each state and question.
 
-    states: state_id, state. Equal states are scored once; the others of the same text are marked cached. More options
+    states: state_id, state. Equal states, of equal experience where it is given, are scored once; the others are marked cached. More options
     than most_options meet in groups whose finalists, with the memory's and the embedder's candidates, meet again until
     one group is left. States in another script than the model reads get no answer and are handed off.
     """
     o = options or Options()
     if o.oos_similarity is not None and embedder is None:
         raise ValueError("a least similarity needs an embedder")
-    same = states.groupBy("state").agg(F.min("state_id").alias("first_id"))
+    alike = ["state"]
+    if experience is not None:
+        known = experience.table.groupBy("state_id").agg(F.array_sort(F.collect_list(F.struct("qid", "pm", "votes", "first"))).alias("known"))  # one a question
+        states = states.select("state_id", "state").join(known, "state_id", "left").withColumn("known", F.coalesce("known", F.array()))
+        alike = ["state", "known"]
+    same = states.groupBy(*alike).agg(F.min("state_id").alias("first_id"))
     unique = saved(same.select(F.col("first_id").alias("state_id"), "state"), "states")
     jobs = _job_table(unique, questions)
     asked = " ".join(q.instructions for q in questions)
@@ -143,7 +148,7 @@ def decide(states: DataFrame, questions: list[Question], scorer, options: Option
     for d in done[1:]:
         scored = scored.unionByName(d)
     answers = _answers(scored, o, weight, loo).unionByName(_unread(gated))
-    pairs = states.join(same, "state").select(F.col("state_id").alias("of"), F.col("first_id").alias("state_id"))
+    pairs = states.join(same, alike).select(F.col("state_id").alias("of"), F.col("first_id").alias("state_id"))
     out = pairs.join(answers, "state_id").withColumn("cached", F.col("of") != F.col("state_id"))
     return out.drop("state_id").withColumnRenamed("of", "state_id")
 

@@ -100,3 +100,12 @@ def test_recalled_memory(spark):
     got = D.decide(states(spark, ["x", "y", "z"]), q, S.HashScorer(), D.Options(agree_votes=1), known).orderBy("state_id").collect()
     assert [g.strategy for g in got] == ["direct", "votes", "votes"] and got[2].answer == "c"
     assert F is not None
+
+
+def test_equal_states_of_different_experience_answer_apart(spark):
+    q = Q.parse_questions({"topic": {"type": "choice", "instructions": "Which?", "criteria": ["a", "b"]}})
+    states = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "x")], "state_id long, state string")
+    known = spark.createDataFrame([(2, "topic", [0.9, 0.1], [8, 0], [0.9, 0.1]), (3, "topic", [0.1, 0.9], [0, 8], [0.1, 0.9])], "state_id long, qid string, pm array<double>, votes array<int>, first array<double>")
+    got = {r.state_id: (r.answer, r.strategy, r.cached) for r in D.decide(states, q, S.HashScorer(), D.Options(), D.Experience(known)).collect()}
+    assert got[2] == ("a", "memory_first", False) and got[3] == ("b", "memory_first", False)
+    assert got[1][1:] == ("direct", False) and got[4] == (got[1][0], "direct", True)
