@@ -22,3 +22,34 @@ def test_traversal_is_bounded(spark):
     t = topology.traverse(nodes, links, s, 2, 10).orderBy("ord").collect()
     assert [r.node_id for r in t] == ["F_a", "D_x", "F_b"]
     assert topology.traverse(nodes, links, s, 4, 2).count() == 2
+
+
+def exchanges(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_links_and_postings_of_unique_records_are_made_where_they_are(spark, tmp_path):
+    from mnemix.operators import memory as M
+
+    rows = [("r1", "Act", "alpha beta beta", ["B", "A", "A"], ["x", "x"]), ("r2", "Act", "beta", ["A"], [])]
+    r = spark.createDataFrame(rows, "id string, action string, text string, data array<string>, access array<string>")
+    concepts = spark.createDataFrame([("r1", "s"), ("r1", "s")], "id string, stem string")
+    context = spark.createDataFrame([("r1", "r2"), ("r2", "r1")], "owner string, target string")
+    plain, quick = M.typed_links(r, context, concepts), M.typed_links(r, context, concepts, unique=True)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, quick.collect()))
+    assert exchanges(M.typed_links(r, unique=True)) == 0
+    p = M.weighted_postings(M.node_table(r, M.typed_links(r)).localCheckpoint())
+    assert exchanges(p) == 1
+    assert {(x.term, x.tf, x.len) for x in p.filter("node_id = 'F_r2'").collect()} == {("2", 3.0, 7.0), ("act", 3.0, 7.0), ("beta", 1.0, 7.0)}
+
+
+def test_scores_meet_asked_terms_by_broadcast(spark):
+    from mnemix.operators import retrieval as R
+
+    p = spark.createDataFrame([("t", f"F_{i}", 1.0, 2.0) for i in range(50)], "term string, node_id string, tf double, len double")
+    lengths = spark.createDataFrame([(f"F_{i}", 2.0) for i in range(50)], "node_id string, len double")
+    asked = spark.createDataFrame([(q, "t", 1.0) for q in range(9)], "query_id int, term string, weight double")
+    s = R.bm25(p, lengths, asked)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert s.count() == 450
