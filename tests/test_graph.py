@@ -1,3 +1,5 @@
+import pytest
+
 from mnemix.operators import topology
 
 
@@ -53,3 +55,51 @@ def test_scores_meet_asked_terms_by_broadcast(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert s.count() == 450
+
+
+def test_best_sums_keep_every_tie_and_match_all_sums(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from mnemix.operators import retrieval as R
+
+    g = np.random.default_rng(3)
+    parts = sorted({(f"F_{i}", f"k{j}", round(float(v), 1)) for i, j, v in zip(g.integers(0, 400, 3000), g.integers(0, 12, 3000), g.random(3000))})
+    parts = list({p[:2]: p for p in parts}.values())
+    asked = [(q, f"k{j}", 0.5 + 0.25 * (j % 3)) for q in range(30) for j in range(q % 12, min(12, q % 12 + 1 + q % 4))] + [(99, "none", 1.0)]
+    p, a = spark.createDataFrame(parts, "node_id string, key string, value double"), spark.createDataFrame(asked, "query_id int, key string, weight double")
+    every = p.join(a, "key").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("weight") * F.col("value")), 9).alias("s")).toPandas()
+    want = {(r.query_id, r.node_id, r.s) for r in every[every.groupby("query_id").s.rank(method="min", ascending=False) <= 5].itertuples()}
+    got = {(r.query_id, r.node_id, round(r.score, 9)) for r in R.best_sums(p, a, 5, block_parts=300, block_asked=20).collect()}
+    assert {(q, n) for q, n, _ in got} == {(q, n) for q, n, _ in want} and np.isclose(sum(x[2] for x in got), sum(x[2] for x in want))
+
+
+def test_a_stage_hands_on_its_best_and_not_every_pair(spark):
+    from mnemix.operators import memory as M
+    from mnemix.operators import retrieval as R
+
+    rows = [(f"r{i}", "Act", "alpha " + "beta " * i, ["Alpha", f"B{i}"]) for i in range(300)]
+    m = M.build(spark.createDataFrame(rows, "id string, action string, text string, data array<string>"))
+    q = spark.createDataFrame([(1, "alpha"), (2, "alpha beta")], "query_id int, q string")
+    hits = [(r.query_id, r.rank, r.id) for r in R.cascade(m, q, 5).orderBy("query_id", "rank").collect()]
+    assert len(hits) == 10 and hits[0][2] == "F_r0"
+    assert R.best_sums(*R.weighed(m.postings, m.lengths, R.query_terms(q).select("query_id", "term").selectExpr("*", "1d as weight")), 5).count() < 30
+
+
+def test_hybrid_queries_build_one_memory(spark, monkeypatch):
+    from mnemix.plans import registry, stores
+
+    class Built(Exception):
+        pass
+
+    made = []
+    monkeypatch.setattr(stores, "memory", lambda *a: made.append(1) or registry.M.Materialised(None))
+    monkeypatch.setattr(stores, "embedded_memory", lambda *a: (None, None) if len(a) == 3 else made.append(2))
+    monkeypatch.setattr(stores, "questions", lambda *a: spark.range(0))
+    for name in ("hybrid", "hybrid_search"):
+        monkeypatch.setattr(stores.R, name, lambda *a, **k: (_ for _ in ()).throw(Built))
+    for q in (stores.r13_hybrid, stores.r21_hybrid_search):
+        made.clear()
+        with pytest.raises(Built):
+            q(spark, "")
+        assert made == [1]
