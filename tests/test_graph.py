@@ -103,3 +103,14 @@ def test_hybrid_queries_build_one_memory(spark, monkeypatch):
         with pytest.raises(Built):
             q(spark, "")
         assert made == [1]
+
+
+def test_nodes_of_unique_records_need_no_join(spark):
+    from mnemix.operators import memory as M
+
+    rows = [("r1", "Act", "alpha", ["B", "A", "A"], ["x", "x"]), ("r2", "Act", "beta", ["A"], None), ("r3", "", "", [], [])]
+    r = spark.createDataFrame(rows, "id string, action string, text string, data array<string>, access array<string>").localCheckpoint()
+    links = M.typed_links(r, unique=True).localCheckpoint()
+    plain, quick = M.node_table(r, links), M.node_table(r, links, unique=True)
+    assert sorted(map(tuple, plain.select(*sorted(plain.columns)).collect())) == sorted(map(tuple, quick.select(*sorted(plain.columns)).collect()))
+    assert "Join" not in quick._jdf.queryExecution().optimizedPlan().toString()

@@ -50,3 +50,20 @@ def test_scripts(spark):
     assert one(spark, "ＡＢＣ", T.script_profile).non_latin_fraction == 0
     assert one(spark, "123", T.script_profile).letters == 0
     assert one(spark, "漢字かな", T.unreadable_for_english)
+
+
+TEXTS = ["aBcD ABcDEf UUIDToken X", "auth-module v2 12a3b A1 ÄÖüß Straße ĐaƂ", "tag – “x” … €5 naïve ÉCOLE", "日本語 mixed Text", "İstanbul ª² x²y ½", "a\x00b\tc 7 x", "", None, "οδΌς Σ", "éa", "ǅx ŉa ǰb"]
+
+
+def test_terms_by_batches_are_terms(spark):
+    d = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for r in d.select("t", T.terms_of(F.col("t")).alias("a"), T.terms(F.col("t")).alias("b"), T.term_set_of(F.col("t")).alias("c"), F.array_sort(F.array_distinct(F.transform(T.terms(F.col("t")), T.capitalize))).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d, r.t
+
+
+def test_a_script_profile_goes_through_a_text_twice(spark):
+    d = spark.createDataFrame([(t,) for t in [*TEXTS, "привет мир abc", "abcdefgh я", "กขค ab", "ა ბ ⴰ"]], "t string")
+    got = d.select("t", T.script_profile(F.col("t")).alias("p"))
+    found = {r.t: tuple(r.p) for r in got.collect()}
+    assert found["привет мир abc"] == (12, 0.75, "cyrillic") and found["abcdefgh я"] == (9, 0.1111, "latin") and found["กขค ab"] == (5, 0.6, "thai") and found[None] == (0, 0.0, "latin")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(coalesce(") == 1
