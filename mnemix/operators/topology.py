@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,20 +12,31 @@ from pyspark.sql import functions as F
 from mnemix.sources.tables import checkpointed, components, running, saved
 
 
-def _louvain(edges: list[tuple[int, int]], m: float) -> dict[int, int]:
-    """One level of greedy modularity moves in node order, until a sweep moves nothing or twenty are done."""
-    near: dict[int, list[int]] = defaultdict(list)
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    own = {v: v for v in near}
-    size = {v: float(len(x)) for v, x in near.items()}
+def _louvain(a: np.ndarray, b: np.ndarray, m: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, communities): one level of greedy modularity moves in node order, until a sweep moves nothing or twenty are done.
+
+    Edges are arrays of both ends in their order; a node's neighbours are a slice of one array, in that order, so an edge
+    costs some dozen bytes and not two list entries and a tuple.
+    """
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = len(a)
+    kind = np.int32 if len(nodes) < 2**31 else np.int64
+    ends = ends.astype(kind)
+    first = np.stack([ends[:n], ends[n:]], axis=1).ravel()
+    near = np.stack([ends[n:], ends[:n]], axis=1).ravel()
+    order = np.argsort(first, kind="stable")
+    near = near[order]
+    cut = np.searchsorted(first[order], np.arange(len(nodes) + 1))
+    del first, ends, order
+    own, size = list(range(len(nodes))), np.diff(cut).astype(float).tolist()
+    cut = cut.tolist()
     for _ in range(20):
         moved = False
-        for v in sorted(near):
-            k = len(near[v])
+        for v in range(len(nodes)):
+            mine = near[cut[v] : cut[v + 1]].tolist()
+            k = len(mine)
             into: dict[int, float] = defaultdict(float)
-            for u in near[v]:
+            for u in mine:
                 into[own[u]] += 1.0
             home = own[v]
             stay = into.get(home, 0.0) / m - k * (size[home] - k) / (2 * m * m)
@@ -35,7 +47,7 @@ def _louvain(edges: list[tuple[int, int]], m: float) -> dict[int, int]:
                 own[v], moved = -best, True
         if not moved:
             break
-    return own
+    return nodes, nodes[np.array(own, np.int64)] if len(nodes) else nodes
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -51,11 +63,11 @@ def communities(edges: DataFrame) -> DataFrame:
     roots = components(e.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        p = part.sort_values("seq")
-        own = _louvain(list(zip(p["ia"], p["ib"])), m)
-        return pd.DataFrame({"idx": list(own), "c": list(own.values())})
+        order = np.argsort(part["seq"].to_numpy(), kind="stable")
+        nodes, own = _louvain(part["ia"].to_numpy()[order], part["ib"].to_numpy()[order], m)
+        return pd.DataFrame({"idx": nodes, "c": own})
 
-    found = e.join(roots, F.col("ia") == F.col("node")).select("root", "seq", "ia", "ib").groupBy("root").applyInPandas(solve, "idx long, c long")
+    found = e.join(roots, F.col("ia") == F.col("node")).select("root", "seq", "ia", "ib").groupBy("root").applyInPandas(solve, "idx long, c long")  # numbers only
     found = saved(found, "louvain")
     first = found.groupBy("c").agg(F.min("idx").alias("first"))
     dense = running(first, ["first"], F.lit(1).cast("long"), "place").select("c", (F.col("place") - 1).alias("community"))

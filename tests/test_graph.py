@@ -114,3 +114,18 @@ def test_nodes_of_unique_records_need_no_join(spark):
     plain, quick = M.node_table(r, links), M.node_table(r, links, unique=True)
     assert sorted(map(tuple, plain.select(*sorted(plain.columns)).collect())) == sorted(map(tuple, quick.select(*sorted(plain.columns)).collect()))
     assert "Join" not in quick._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_communities_of_a_large_component_need_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    g = np.random.default_rng(1)
+    a, b = g.integers(0, 400, 60_000) * 2, g.integers(0, 400, 60_000) * 2 + 1
+    tracemalloc.start()
+    nodes, own = topology._louvain(a, b, 60_000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(nodes) == len(own) == len(set(a) | set(b)) and set(own) <= set(nodes)
+    assert peak < 100 * 60_000  # bytes an edge
