@@ -51,8 +51,8 @@ def answers(pr: str = "pr") -> str:
   CASE any_value(kind) WHEN 'noul' THEN max(p) ELSE least(greatest(1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(count(*)), 0), 1) END AS confidence FROM {pr} GROUP BY 1, 2"""
 
 
-def shown(d):
-    return d.select("state_id", "qid", "answer", F.round("value", 6).alias("value"), F.round("confidence", 6).alias("confidence"))
+def shown(d, *more):
+    return d.select("state_id", "qid", "answer", F.round("value", 6).alias("value"), F.round("confidence", 6).alias("confidence"), *more)
 
 
 @query(f"WITH {direct(QUESTIONS)}, a AS ({answers()}) SELECT state_id, qid, answer, round(value, 6) AS value, round(confidence, 6) AS confidence FROM a")
@@ -72,7 +72,7 @@ av AS (SELECT pr.state_id, pr.qid, pr.kind, pr.o, pr.label, CASE WHEN c.again TH
 SELECT state_id, qid, answer, round(value, 6) AS value, round(b.confidence, 6) AS confidence, again AS permuted FROM b JOIN c USING (state_id, qid)""")
 def x10_order_ensemble(spark, sf):
     d = D.decide(states(spark, sf), QUESTIONS, S.HashScorer(), D.Options(permute=True, permute_below=0.2))
-    return shown(d).join(d.select("state_id", "qid", "permuted"), ["state_id", "qid"])
+    return shown(d, "permuted")
 
 
 @query(f"""WITH {STATES}, {_options(SHELVES)},

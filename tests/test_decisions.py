@@ -109,3 +109,13 @@ def test_equal_states_of_different_experience_answer_apart(spark):
     got = {r.state_id: (r.answer, r.strategy, r.cached) for r in D.decide(states, q, S.HashScorer(), D.Options(), D.Experience(known)).collect()}
     assert got[2] == ("a", "memory_first", False) and got[3] == ("b", "memory_first", False)
     assert got[1][1:] == ("direct", False) and got[4] == (got[1][0], "direct", True)
+
+
+def test_an_order_ensemble_reads_its_decisions_once(spark, monkeypatch):
+    from mnemix.plans import decisions as P
+
+    d = spark.createDataFrame([(1, "q", "a", 0.5, 0.5, True)], "state_id long, qid string, answer string, value double, confidence double, permuted boolean")
+    monkeypatch.setattr(P.D, "decide", lambda *a, **k: d)
+    monkeypatch.setattr(P, "states", lambda *a: None)
+    got = P.x10_order_ensemble(spark, "")
+    assert got.columns == [*d.columns] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
