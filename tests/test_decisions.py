@@ -112,7 +112,7 @@ def test_equal_states_of_different_experience_answer_apart(spark):
 
 
 def test_an_order_ensemble_reads_its_decisions_once(spark, monkeypatch):
-    from mnemix.plans import decisions as P
+    from mnemix.plans.registry import decisions as P
 
     d = spark.createDataFrame([(1, "q", "a", 0.5, 0.5, True)], "state_id long, qid string, answer string, value double, confidence double, permuted boolean")
     monkeypatch.setattr(P.D, "decide", lambda *a, **k: d)
