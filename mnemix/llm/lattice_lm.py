@@ -206,6 +206,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 CHUNK = "chunk long, z int, words array<binary>, h1 array<long>, h2 array<long>, counts array<long>, doc_id array<long>, held_out array<boolean>, ends array<long>, places binary, times binary"
 DIM = 512
+DOCS = 500  # documents of a chunk whose numbers are added up at once
 GRID = [(a / 20, b) for a in range(20) for b in (0.0, 0.01, 0.03, 0.1, 0.3, 0.6) if a / 20 + b < 0.995]  # shares of the own and of all clusters' counts
 
 
@@ -293,12 +294,26 @@ def centers(pairs: DataFrame, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def texts_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs: int, urns: tuple = (500.0, 20.0)) -> np.ndarray:
-    """Natural log probability of each document's words, given each (document, word)'s log probability and count.
+def texts_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs: int, urns: tuple = (500.0, 20.0), most_words: int = 200_000) -> np.ndarray:
+    """Natural log probability of each document's words, given each (document, word)'s log probability and count; owner ascends.
 
     An equal mixture of drawing words independently and of drawing them from urns that start with so many words in
     the model's proportions and get a copy of each word drawn: texts that repeat themselves favour a small urn.
+    Documents are taken a block of about `most_words` uses at a time, as an urn needs a number for each use.
     """
+    upto = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+    ends = np.searchsorted(owner, np.arange(n_docs), side="right")
+    used, out, first = upto[ends], np.zeros(n_docs), 0
+    while first < n_docs:
+        lo = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(used, upto[lo] + most_words, side="right")))
+        hi = ends[last - 1]
+        out[first:last] = _urns_log(log_word[lo:hi], times[lo:hi], owner[lo:hi] - first, last - first, urns)
+        first = last
+    return out
+
+
+def _urns_log(log_word: np.ndarray, times: np.ndarray, owner: np.ndarray, n_docs: int, urns: tuple) -> np.ndarray:
     add = lambda v, o=owner: np.bincount(o, v, n_docs) if len(o) else np.zeros(n_docs)
     kinds = [add(times * log_word)]
     starts = np.cumsum(times) - times
@@ -349,8 +364,9 @@ class _Chunk:
         self.size += len(raw)
 
     def row(self, chunk: int, z: int) -> pd.DataFrame:
-        p, t = np.concatenate(self.places), np.concatenate(self.times)
         n = [len(x) for x in self.places]
+        p, t = np.concatenate(self.places), np.concatenate(self.times)
+        self.places, self.times = [], []
         use = np.repeat(~np.array(self.held, bool), n)
         train = np.bincount(p[use], t[use], len(self.at)).astype(np.int64)
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.at)), np.int64).reshape(len(self.at), 2)
@@ -358,16 +374,20 @@ class _Chunk:
 
 
 def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int, middle: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row for each chunk of one cluster's documents; all open ones together hold twice chunk_bytes of text at the most, and one document."""
     first = TaskContext.get().partitionId() << 24
-    made, open_ = 0, {}
+    made, open_, size = 0, {}, 0
     for batch in batches:
         for doc_id, held, text in zip(batch["doc_id"].astype(object), batch["held_out"], batch["text"]):
             raw = (text or "").encode("utf-8", "surrogatepass")
             z = int((middle @ byte_pairs(raw)).argmax())
             chunk = open_.setdefault(z, _Chunk())
             chunk.add(doc_id, held, raw)
-            if chunk.size >= chunk_bytes:
-                yield open_.pop(z).row(first + made, z)
+            size += len(raw)
+            if chunk.size >= chunk_bytes or size >= 2 * chunk_bytes:
+                full = max(open_, key=lambda k: open_[k].size)
+                size -= open_[full].size
+                yield open_.pop(full).row(first + made, full)
                 made += 1
     for z, chunk in open_.items():
         yield chunk.row(first + made, z)
@@ -461,18 +481,24 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 2, clusters: int = 6,
         lm = np.logaddexp(whole, np.log(1 - a - b) + log_piece)
         base = np.log10((total + 0.5) / (n_all + 0.5 * (v_all + 1)))
         place, times = _unpack(row["places"], np.int32), _unpack(row["times"], np.int32)
-        owner = np.repeat(np.arange(n_docs), np.diff(np.concatenate([[0], row["ends"]]).astype(int)))
-        add = lambda v: np.bincount(owner, v, n_docs) if len(owner) else np.zeros(n_docs)
-        ends = np.log1p(-end[z]) * add(times) + np.log(end[z])
+        cut = np.concatenate([[0], row["ends"]]).astype(int)
+        found = np.zeros((5, n_docs))
+        for i in range(0, n_docs, DOCS):
+            j, p, t = min(n_docs, i + DOCS), place[cut[i] : cut[min(n_docs, i + DOCS)]], times[cut[i] : cut[min(n_docs, i + DOCS)]]
+            owner = np.repeat(np.arange(j - i), np.diff(cut[i : j + 1]))
+            add = lambda v: np.bincount(owner, v, j - i) if len(owner) else np.zeros(j - i)  # noqa: B023, E731
+            found[:, i:j] = add(t), add(t * (total[p] > 0)), add(t * base[p]), texts_log(lm[p], t, owner, j - i), add(t * log_piece[p])
+        n_words_in, known, base_sum, mixed, pieces = found
+        ends = np.log1p(-end[z]) * n_words_in + np.log(end[z])
         return pd.DataFrame({
             "doc_id": pd.array(list(row["doc_id"]), dtype="Int64"),
             "held_out": np.array(row["held_out"], bool),
-            "n_tokens": add(times).astype(np.int64) + 1,
-            "n_known": add(times * (total[place] > 0)).astype(np.int64) + int(docs_in > 0),
+            "n_tokens": n_words_in.astype(np.int64) + 1,
+            "n_known": known.astype(np.int64) + int(docs_in > 0),
             "train_tokens": np.full(n_docs, n_all, np.int64),
-            "base_score": add(times * base[place]) + np.log10((docs_in + 0.5) / (n_all + 0.5 * (v_all + 1))),
-            "score": (texts_log(lm[place], times, owner, n_docs) + ends) / np.log(10) + log_z[z],
-            "lattice_score": (add(times * log_piece[place]) + ends) / np.log(10) + log_z[z],
+            "base_score": base_sum + np.log10((docs_in + 0.5) / (n_all + 0.5 * (v_all + 1))),
+            "score": (mixed + ends) / np.log(10) + log_z[z],
+            "lattice_score": (pieces + ends) / np.log(10) + log_z[z],
         })
 
     of_z = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in zs]), F.col("z") + 1)

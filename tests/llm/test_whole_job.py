@@ -75,3 +75,40 @@ def test_lattice_alone_is_the_marginal(spark):
         want = voc.log_words(words, voc.logp).sum() + len(words) * np.log1p(-end) + np.log(end)
         assert abs(r.lattice_score - want / np.log(10)) < 1e-6 * abs(want)
         assert r.score > r.lattice_score
+
+
+def test_texts_log_holds_a_block():
+    """An urn has a number for each use of a word: of many documents only a block's are held, and the sums stay the same."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n, each = 3000, 100
+    owner, times = np.repeat(np.arange(n), each), rng.integers(1, 12, n * each).astype(np.int32)
+    lw = -rng.uniform(1, 15, n * each)
+    whole = lattice_lm.texts_log(lw, times, owner, n, most_words=1 << 60)
+    tracemalloc.start()
+    got = lattice_lm.texts_log(lw, times, owner, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, whole, rtol=1e-12) and peak < 40e6  # all uses at once take over 150 MB
+    some = lattice_lm.texts_log(lw[:300], times[:300], np.repeat([0, 2, 5], each), 7)  # documents without words, the first and last included
+    assert np.allclose(some[[0, 2, 5]], lattice_lm.texts_log(lw[:300], times[:300], np.repeat([0, 1, 2], each), 3)) and np.allclose(some[[1, 3, 4, 6]], 0)
+
+
+def test_open_chunks_are_bounded(monkeypatch):
+    """Chunks of several clusters are open at once; together they hold no more than twice one chunk's text."""
+    monkeypatch.setattr(lattice_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    texts = [chr(97 + i % 6) * 99 + " " for i in range(120)]
+    middle = np.array([lattice_lm.byte_pairs(t.encode()) for t in texts[:6]])
+    read = []
+
+    def batches():
+        for i, t in enumerate(texts):
+            read.append(i)
+            yield pd.DataFrame({"doc_id": [i], "held_out": [False], "text": [t]})
+
+    ids, seen = [], 0
+    for row in lattice_lm._chunks(batches(), 1000, middle):
+        ids += row.iloc[0]["doc_id"]
+        seen = max(seen, len(read) - len(ids) + len(row.iloc[0]["doc_id"]))
+    assert sorted(ids) == list(range(120)) and seen <= 20
