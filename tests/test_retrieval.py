@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from mnemix.operators import retrieval as rank
 from mnemix.plans.registry import ORACLE
@@ -36,3 +38,46 @@ def test_plain_bm25_counts_in_place(spark):
     new = [p for p in os.listdir(shared_dir(spark)) if p.startswith("mnemix-plain") and p not in before]
     table = spark.read.parquet(f"{shared_dir(spark)}/{new[0]}")
     assert sum(len(r.terms) for r in table.collect()) == 2  # 12,000 words were written before
+
+
+def exact(spark, vectors, queries, k):
+    """The k nearest by the rounded cosine, ties to the smaller id."""
+    v = np.array([x for _, x in vectors])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims = {i: v @ (np.array(x) / np.linalg.norm(x)) for i, x in queries}
+    return {i: sorted((-round(float(y), 9), n) for y, (n, _) in zip(s, vectors))[:k] for i, s in sims.items()}
+
+
+def found(d):
+    out = {}
+    for r in d.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((-r.sim, r.node_id))
+    return out
+
+
+def test_dense_blocks_and_tiles(spark):
+    """Any cut into blocks gives the same neighbours, ties included, and a block is as large as its components allow."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2, 3, (300, 3)).astype(float)  # few directions, so many ties
+    base[~base.any(axis=1)] = 1.0
+    rows = [(i, x.tolist()) for i, x in enumerate(base)]
+    d = spark.createDataFrame(rows, "node_id long, vec array<double>")
+    q = d.filter("node_id % 3 = 0").withColumnRenamed("node_id", "query_id")
+    want = exact(spark, rows, rows[::3], 7)
+    near = lambda got: {i: [(round(s, 9), n) for s, n in x] for i, x in got.items()}
+    for cells in ((1 << 22, 1 << 21), (120, 90), (3, 1 << 21)):
+        assert near(found(rank.dense_top(d, q, 7, *cells))) == near(want)
+    with_tiles = rank._top_of_blocks(
+        d.select("node_id", rank.unit(F.col("vec")).alias("vec"), F.lit(0).alias("b")), q.select("query_id", rank.unit(F.col("vec")).alias("vec"), F.lit(0).alias("b")), ["b"], 7, ("bigint", "bigint"), rows=10, columns=9
+    )
+    assert near(found(with_tiles)) == near(want)
+
+
+def test_dense_shuffles_few_copies(spark, monkeypatch):
+    """Each vector is shuffled once for each block of queries: 9,000 of 64 components are one block."""
+    d = spark.range(9000).select(F.col("id").alias("node_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.col("id"))).alias("vec"))
+    seen = []
+    monkeypatch.setattr(rank, "_top_of_blocks", lambda v, a, *rest: seen.append((v.count(), a.count())) or v)
+    rank.dense_top(d, d.withColumnRenamed("node_id", "query_id"), 5)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [(9000, 9000 * cores)]
