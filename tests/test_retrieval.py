@@ -73,6 +73,28 @@ def test_dense_blocks_and_tiles(spark):
     assert near(found(with_tiles)) == near(want)
 
 
+def test_cells_are_cut(spark, monkeypatch):
+    """A cell holds a share of the table, so a task takes blocks of it: no more than so many components, and the same neighbours."""
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 4)))]
+    d = spark.createDataFrame(rows, "node_id long, vec array<double>")
+    q = d.filter("node_id % 4 = 0").withColumnRenamed("node_id", "query_id")
+    index = rank.cell_index(d, 3)
+    seen, top = [], rank._top_of_blocks
+
+    def watched(v, a, keys, *rest):
+        seen.append((v.groupBy(*keys).count().agg(F.max("count")).first()[0], a.groupBy(*keys).count().agg(F.max("count")).first()[0]))
+        return top(v, a, keys, *rest)
+
+    monkeypatch.setattr(rank, "_top_of_blocks", watched)
+    want = exact(spark, rows, rows[::4], 5)
+    got = found(rank.cell_search(index, q, 5, 3, 4 * 40, 4 * 20))
+    assert {i: [n for _, n in x] for i, x in got.items()} == {i: [n for _, n in x] for i, x in want.items()}
+    assert seen[0][0] < 80 and seen[0][1] < 45  # a whole cell holds over 130 of 400, and all 100 queries probe it
+    one = rank.cell_search(index, q, 5, 1, 4 * 40, 4 * 20)
+    assert one.count() == rank.cell_search(index, q, 5, 1).count() == 500
+
+
 def test_dense_shuffles_few_copies(spark, monkeypatch):
     """Each vector is shuffled once for each block of queries: 9,000 of 64 components are one block."""
     d = spark.range(9000).select(F.col("id").alias("node_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.col("id"))).alias("vec"))
